@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import importlib
 
+from ..session import ship
+
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op4_decontaminate": "decontaminate",
+    "op6_minhash_neardup": "neardup",
+    "op9_token_counts": "tokencount",
+    "op10_packing": "packing",
 }
 
 
@@ -14,8 +19,16 @@ def _module(name: str):
     return importlib.import_module(f"{__package__}.{MODULES[name]}")
 
 
+def _query(name: str):
+    def run(spark, sf_dir: str):
+        ship(spark)
+        return _module(name).query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: _module(name).query for name in MODULES}
+    return {name: _query(name) for name in MODULES}
 
 
 def oracle_sql() -> dict[str, str]:
