@@ -8,6 +8,7 @@ from ..session import ship
 
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op1_suffix_dedup": "suffixdedup",
     "op4_decontaminate": "decontaminate",
     "op6_minhash_neardup": "neardup",
     "op9_token_counts": "tokencount",
