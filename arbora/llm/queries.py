@@ -9,8 +9,12 @@ from ..session import ship
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
     "op1_suffix_dedup": "suffixdedup",
+    "op2_fingerprints": "fingerprint",
+    "op3_url_filter": "urlfilter",
     "op4_decontaminate": "decontaminate",
     "op6_minhash_neardup": "neardup",
+    "op7_toxicity": "toxicity",
+    "op8_hilbert_sharding": "sharding",
     "op9_token_counts": "tokencount",
     "op10_packing": "packing",
 }

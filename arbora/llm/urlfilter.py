@@ -1,8 +1,7 @@
 """URL filtering with pattern rules indexed by their rarest literal token, with DataFrame operations only.
 
 A rule is a regular expression with the literal tokens that any match must hold. Each rule is filed under the one of its
-tokens that is rarest among the URLs; a URL's tokens fetch the rules filed under them, and only those are run. Rules without
-a token can't be indexed; they are run on every URL. Host rules (`example.com/en/`) are such patterns too: they fit their host
+tokens that is rarest among the URLs; a URL's tokens fetch the rules filed under them, and only those are run. Every rule needs a token. Host rules (`example.com/en/`) are such patterns too: they fit their host
 and its subdomains where the path starts with the rule's, and the longest that fits wins over all others.
 
 The rule table is sent to every task as long as it has at most BROADCAST_RULES rows; a larger one is joined by token.
@@ -22,16 +21,15 @@ SPLIT = "[^a-z0-9]+"
 #: Host rules and their verdicts.
 HOST_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-#: Patterns over host and path for urls that no host rule fits: (name, pattern, tokens, verdict).
+#: Patterns over host and path for urls that no host rule fits: (name, pattern, tokens, verdict). A pattern matches only where
+#: each of its tokens stands between characters that aren't letters or digits, or ends.
 PATTERNS = (
-    ("login", r"/(login|signin|signup)([/.]|$)", (), "block"),
-    ("ads", r"(^|\.)(ads?|adserver|doubleclick)[0-9]*\.", (), "block"),
-    ("casino", r"(^|[^a-z])casino([^a-z]|$)", ("casino",), "block"),
-    ("porn", r"(^|[^a-z])porn([^a-z]|$)", ("porn",), "block"),
-    ("tracker", r"(^|\.)tracker\.[^/]*/", ("tracker",), "block"),
+    *((f"path-{w}", rf"/{w}([/.]|$)", (w,), "block") for w in ("login", "signin", "signup")),
+    *((f"host-{w}", rf"(^|\.){w}\.", (w,), "block") for w in ("ad", "ads", "adserver", "doubleclick", "tracker")),
+    *((f"word-{w}", rf"(^|[^A-Za-z0-9]){w}([^A-Za-z0-9]|$)", (w,), "block") for w in ("casino", "porn")),
+    *((f"file-{w}", rf"\.{w}$", (w,), "block") for w in ("zip", "exe", "iso", "tar", "gz")),
     ("cgi", r"/cgi-bin/", ("cgi", "bin"), "block"),
     ("wp-admin", r"/wp-admin(/|$)", ("wp", "admin"), "block"),
-    ("archive", r"\.(zip|exe|iso|tar|gz)$", (), "block"),
 )
 
 
@@ -73,23 +71,20 @@ def judge(pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str
     place = F.concat("host", "path")
     words = F.array_distinct(F.filter(F.split(F.lower(place), SPLIT), lambda t: t != ""))
     rules = rules.withColumn("id", F.xxhash64("rule", "pattern"))
-    n_rules = rules.count()
-    small = n_rules <= BROADCAST_RULES
+    counts = rules.agg(F.count("*").alias("n"), F.count_if(F.size("tokens") < 1).alias("bare")).first()
+    if counts.bare:
+        raise ValueError("every rule needs a literal token to be indexed by")
+    small = counts.n <= BROADCAST_RULES
     near = F.broadcast if small else (lambda df: df)
     # how often the rules' tokens occur; the other tokens don't matter
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
     seen = read.select(F.explode(words).alias("token")).join(near(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     filed = rules.select("id", F.explode("tokens").alias("token")).join(seen, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least"))
     index = rules.join(filed, "id").select(F.col("least.token").alias("token"), "rule", "pattern", "verdict", "rank")
-    untied = rules.where(F.size("tokens") == 0).select("rule", "pattern", "verdict", "rank")
     # several places have one url: judge each distinct place once
     places = read.select("host", "path").distinct().withColumn("place", place)
     fetched = places.withColumn("token", F.explode(words)).join(near(index), "token")
     fits = fetched.where("rlike(place, pattern)").select("host", "path", "rule", "verdict", "rank")
-    loose = untied.agg(F.collect_list(F.struct("rank", F.length("rule").alias("n"), "rule", "verdict", "pattern")).alias("all"))
-    every = places.crossJoin(F.broadcast(loose)) if small else places.withColumn("all", F.expr("CAST(NULL AS array<struct<rank:int,n:int,rule:string,verdict:string,pattern:string>>)"))
-    rest = every.select("host", "path", F.explode(F.filter("all", lambda r: F.call_function("rlike", F.col("place"), r["pattern"]))).alias("r"))
-    fits = fits.union(rest.select("host", "path", "r.rule", "r.verdict", "r.rank"))
     best = fits.groupBy("host", "path").agg(F.max(F.struct("rank", F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
     out = read.join(best, ["host", "path"], "left")
     return out.select(key, "host", "path", F.expr("if(best.rank > 0, best.rule, NULL)").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
