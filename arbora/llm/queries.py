@@ -12,6 +12,7 @@ MODULES = {
     "op2_fingerprints": "fingerprint",
     "op3_url_filter": "urlfilter",
     "op4_decontaminate": "decontaminate",
+    "op5_license_scan": "licensescan",
     "op6_minhash_neardup": "neardup",
     "op7_toxicity": "toxicity",
     "op8_hilbert_sharding": "sharding",

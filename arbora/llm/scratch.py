@@ -29,10 +29,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table written so far. Only for callers that have stored what they derived from them."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> list[tuple[SparkSession, str]]:
+    """Every table that is still there."""
+    return list(_written)
+
+
+def release(tables: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete tables, all of them without an argument. Only for callers that have stored what they derived from them."""
+    for spark, path in written() if tables is None else tables:
+        if (spark, path) in _written:
+            _written.remove((spark, path))
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
