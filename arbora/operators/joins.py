@@ -1,6 +1,6 @@
 """Join and reduction operators on DataFrames.
 
-on: pairs of equal columns (left, right). None of these changes how often a left row counts, but for inner().
+on: pairs of equal columns (left, right); null_safe: nulls equal each other. None of these changes how often a left row counts, but for inner().
 """
 
 from __future__ import annotations
@@ -36,27 +36,31 @@ def connected_order(parts: list[tuple[str, frozenset]]) -> list[str]:
     return out
 
 
-def inner(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = ()) -> DataFrame:
+def _equal(on: Pairs, null_safe: bool) -> list[Column]:
+    return [x.eqNullSafe(y) if null_safe else x == y for x, y in on]
+
+
+def inner(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = (), null_safe: bool = False) -> DataFrame:
     """Inner join; without pairs a product, as the query asks for one."""
     if not on and not extra:
         return a.crossJoin(b)
-    return a.join(b, _all([x == y for x, y in on] + list(extra)), "inner")
+    return a.join(b, _all(_equal(on, null_safe) + list(extra)), "inner")
 
 
-def semi(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = ()) -> DataFrame:
+def semi(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = (), null_safe: bool = False) -> DataFrame:
     """Rows of a with a partner in b. Without extra conditions b's keys are made distinct first, so a hot key is one row."""
     if not on and not extra:
         return a.join(b.limit(1), F.lit(True), "left_semi")
     if not extra:
         b = b.select(*(y for _, y in on)).distinct()
-    return a.join(b, _all([x == y for x, y in on] + list(extra)), "left_semi")
+    return a.join(b, _all(_equal(on, null_safe) + list(extra)), "left_semi")
 
 
-def extreme(a: DataFrame, b: DataFrame, on: Pairs, value: Column, least: bool, name: str) -> DataFrame:
+def extreme(a: DataFrame, b: DataFrame, on: Pairs, value: Column, least: bool, name: str, null_safe: bool = False) -> DataFrame:
     """a with a column of the least (or greatest) value of b's matching rows; rows without a match, or only null values, go."""
     best = (F.min if least else F.max)(value).alias(name)
     small = (b.groupBy(*(y for _, y in on)).agg(best) if on else b.agg(best)).where(F.col(name).isNotNull())
-    joined = a.join(small, _all([x == y for x, y in on]), "inner") if on else a.crossJoin(small)  # one row
+    joined = a.join(small, _all(_equal(on, null_safe)), "inner") if on else a.crossJoin(small)  # one row
     return joined.select(*a.columns, name)
 
 

@@ -29,6 +29,7 @@ class Part:
     names: frozenset[str]
     carried: dict[int, str] = field(default_factory=dict)
     below: frozenset[str] = frozenset()  # leaves in the subtree so far
+    auxiliary: bool = False  # a projection, which meets its own relation on columns that may be null
 
 
 class Lowering:
@@ -50,9 +51,11 @@ class Lowering:
         frame = self.core.bridge.named(self.core.bridge.frame(leaf.plan), list(leaf.attributes.values()))
         for e in leaf.filters:
             frame = frame.where(self.column(e))
-        by_variable = self.core.attributes(name)
-        for i, *more in by_variable.values():  # a column that equals another of the same relation
-            for j in more:
+        by_variable, uses = self.core.attributes(name), self._uses()
+        for v, (i, *more) in by_variable.items():
+            if uses[v] > 1:  # a null joins nothing
+                frame = frame.where(F.col(f"c{i}").isNotNull())
+            for j in more:  # a column that equals another of the same relation
                 frame = frame.where(F.col(f"c{i}") == F.col(f"c{j}"))
         kept = {v: names for v, ids in by_variable.items() if (names := [f"c{i}" for i in ids if i in wanted])}
         return frame.select(*(n for names in kept.values() for n in names)), kept
@@ -77,7 +80,7 @@ class Lowering:
             frame, attributes = self.leaf(relation.members[0].leaves()[0].name)
             kept = {v: names[0] for v, names in attributes.items() if v in relation.variables}
             frame = frame.select(*(F.col(n).alias(f"a{n}") for n in kept.values())).distinct()
-            return Part(frame, {v: [f"a{n}"] for v, n in kept.items()}, frozenset())
+            return Part(frame, {v: [f"a{n}"] for v, n in kept.items()}, frozenset(), auxiliary=True)
         names = [m.name for m in relation.leaves()]
         part = None
         for name in joins.connected_order([(m.name, m.variables) for m in relation.leaves()]):
@@ -138,18 +141,19 @@ class Lowering:
         subtree = child.below
         pending = [(c, s) for c in self.core.conditions if c.comparison.number not in self.exact and (s := self.side(c, child, subtree))]
         keys = self.on(parent, child)
-        out = Part(parent.frame, parent.attributes, parent.names, dict(parent.carried), parent.below | child.below)
+        out = Part(parent.frame, parent.attributes, parent.names, dict(parent.carried), parent.below | child.below, parent.auxiliary)
+        nulls = parent.auxiliary or child.auxiliary
         spanning = [c for c in self.core.conditions if c.comparison.number not in self.exact and c.comparison.ends & subtree and not c.comparison.ends <= subtree]
         if pending and len(pending) == len(spanning) > 1 and all(self.far_side(c, parent, subtree) is not None for c, _ in pending):
             extra = [self.compare(c, s[0], subtree, self.far_side(c, parent, subtree)) for c, s in pending]
-            out.frame = joins.semi(parent.frame, child.frame, keys, extra)
+            out.frame = joins.semi(parent.frame, child.frame, keys, extra, nulls)
             self.exact.update(c.comparison.number for c, _ in pending)
         elif pending:
             (c, (value, least)) = pending[0]
             number = c.comparison.number
             self.made += 1
             name = f"x{self.made}"
-            frame = joins.extreme(parent.frame, child.frame, keys, value, least, name)
+            frame = joins.extreme(parent.frame, child.frame, keys, value, least, name, nulls)
             far = self.far_side(c, parent, subtree)
             if far is None:
                 out.frame, out.carried[number] = frame, name
@@ -159,7 +163,7 @@ class Lowering:
                 if len(pending) == len(spanning) == 1:
                     self.exact.add(number)
         else:
-            out.frame = joins.semi(parent.frame, child.frame, keys)
+            out.frame = joins.semi(parent.frame, child.frame, keys, (), nulls)
         if pending and len(spanning) > 1:
             self.blurred.update(c.comparison.number for c in spanning)
         return out
