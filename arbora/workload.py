@@ -127,7 +127,7 @@ _add(
 _add(
     "tpch_q9_nops",
     f"""SELECT n_name, CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) AS y, {REVENUE} AS profit FROM part, supplier, lineitem, orders, nation
-    WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%1%' GROUP BY 1, 2""",
+    WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_brand LIKE '%1%' GROUP BY 1, 2""",
 )
 _add(
     "tpch_q10",
@@ -162,7 +162,7 @@ _add("f_not_in", f"SELECT c_custkey, c_mktsegment, n_name {_CN} AND c_mktsegment
 _add("f_between", f"SELECT o_orderkey, l_linenumber, l_quantity {_OL} AND l_quantity BETWEEN 10 AND 12")
 _add("f_or_local", f"SELECT c_custkey, c_mktsegment, n_name {_CN} AND (c_mktsegment = 'BUILDING' OR c_acctbal < 0)")
 _add("f_or_residual", f"SELECT c_custkey, c_mktsegment, n_name {_CN} AND (c_mktsegment = 'BUILDING' OR n_name = 'NATION_3')")
-_add("f_null", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+_add("f_null", "SELECT s_suppkey FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey AND c_acctbal > 5000 WHERE c_custkey IS NULL")
 _add("f_not_null", f"SELECT c_custkey, n_name {_CN} AND c_mktsegment IS NOT NULL")
 _add("f_string_cmp", f"SELECT c_custkey, c_name, n_name {_CN} AND c_mktsegment < n_name")
 _add("f_neq", f"SELECT c_custkey, n_name {_CN} AND n_name <> 'NATION_1'")
