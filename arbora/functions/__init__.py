@@ -1,0 +1 @@
+"""Scalar functions with the semantics of the query dialect."""

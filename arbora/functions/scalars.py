@@ -1,0 +1,43 @@
+"""Column functions of the dialect, all on Spark built-ins.
+
+Integer division truncates, a year is a long, DECIMAL without digits is a double, and timestamps have milliseconds.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TIMESTAMP = "yyyy-MM-dd HH:mm:ss[.SSS]"
+
+
+def divide(a: Column, b: Column, integers: bool) -> Column:
+    """a / b, null for a zero b; of integers a long, cut towards zero."""
+    if not integers:
+        return F.try_divide(a.cast("double"), b.cast("double"))
+    return F.when(b != 0, (a.cast("long") - a.cast("long") % b.cast("long")) / b.cast("long")).cast("long")
+
+
+def year(date: Column) -> Column:
+    return F.year(date).cast("long")
+
+
+def add_days(moment: Column, days: int) -> Column:
+    """A date or timestamp some days on, of its own type."""
+    return moment + F.expr(f"INTERVAL '{days}' DAY")
+
+
+def case(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    first, *rest = branches
+    return reduce(lambda c, b: c.when(*b), rest, F.when(*first)).otherwise(otherwise)
+
+
+def parse_timestamp(text: Column) -> Column:
+    """A timestamp without zone from `yyyy-MM-dd HH:mm:ss`, with or without milliseconds; null if it isn't one."""
+    return F.try_to_timestamp(text, F.lit(TIMESTAMP)).cast("timestamp_ntz")
+
+
+def format_timestamp(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSS")

@@ -1,0 +1,24 @@
+import datetime
+
+from pyspark.sql import functions as F
+
+from arbora.functions import scalars as S
+
+
+def test_scalars(spark):
+    df = spark.createDataFrame([(7, 2, "2020-01-02 03:04:05.250"), (-7, 2, "2020-01-02 03:04:05"), (1, 0, "x"), (None, 1, None)], "a int, b int, t string")
+    at = S.parse_timestamp(F.col("t"))
+    found = df.select(
+        S.divide(F.col("a"), F.col("b"), True).alias("i"),
+        S.divide(F.col("a"), F.col("b"), False).alias("d"),
+        S.year(at).alias("y"),
+        S.format_timestamp(S.add_days(at, 90)).alias("t"),
+        S.case([(F.col("a") > 5, F.lit("big")), (F.col("a") < 0, F.lit("low"))], F.lit("else")).alias("c"),
+    )
+    assert [tuple(r) for r in found.collect()] == [
+        (3, 3.5, 2020, "2020-04-01 03:04:05.250", "big"),
+        (-3, -3.5, 2020, "2020-04-01 03:04:05.000", "low"),
+        (None, None, None, None, "else"),
+        (None, None, None, None, "else"),
+    ]
+    assert found.schema["i"].dataType.simpleString() == "bigint" and df.select(at).first()[0] == datetime.datetime(2020, 1, 2, 3, 4, 5, 250000)
