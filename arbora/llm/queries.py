@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 from ..session import ship
+from . import oracles
 
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
@@ -38,4 +39,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name in MODULES if (sql := getattr(_module(name), "ORACLE_SQL", None))}
+    return oracles.SQL | {name: sql for name in MODULES if (sql := getattr(_module(name), "ORACLE_SQL", None))}

@@ -188,3 +188,8 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'graph_q1' in q and not any(n.startswith('op1') for n in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op6_minhash_neardup"])
+def test_oracles(spark, sf_dir, name):
+    assert oracle.spark_rows(queries.queries()[name](spark, sf_dir)) == oracle.duck_rows(oracle.connect(sf_dir), queries.oracle_sql()[name])
