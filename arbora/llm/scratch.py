@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one of our own only where none is set (local tests)."""
+    """The session's checkpoint folder; a temporary one of our own only where none is set and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="arbora-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
