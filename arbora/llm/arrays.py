@@ -1,7 +1,7 @@
 """Vectorised text primitives over Arrow buffers: polynomial hashes, words, shingles.
 
 Texts are never turned into Python strings here. A batch's UTF-8 bytes are one uint8 array plus row offsets, worked
-through in pieces of about a megabyte, so memory stays bounded and the arrays stay in the CPU's cache.
+through in pieces of about half a megabyte, so memory stays bounded and the arrays stay in the CPU's cache.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)

@@ -323,10 +323,10 @@ class Block:
         left, right = self.left[self.which].astype(np.int64), self.right[self.which].astype(np.int64)
         low, high = np.where(later, SIDE - right, low[self.which]), np.where(later, left, high[self.which])
         ok = low <= high
-        marks = np.zeros(len(self.data) + 1, np.int64)
+        marks = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(marks, at[ok] - high[ok], 1)
         np.add.at(marks, at[ok] - low[ok] + SPAN, -1)
-        return np.cumsum(marks[:-1]) > 0
+        return np.cumsum(marks[:-1], dtype=np.int32) > 0
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
