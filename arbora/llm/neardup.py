@@ -30,8 +30,8 @@ WORDS = 5
 PERCENT = 75
 TREES = 24
 DEPTH = 3
-DENSE = 4096
-TILE = 1_000_000
+DENSE = 32_768
+TILE = 250_000
 NULL_ID = -(1 << 63)
 
 _draw = np.random.Generator(np.random.PCG64(7))
