@@ -25,8 +25,6 @@ FIXTURES = {
     "T": "SELECT s_nationkey AS c, CAST(s_suppkey AS INT) AS d, CAST(FLOOR(s_acctbal) AS INT) AS e, CAST(s_suppkey AS INT) + 1 AS f FROM supplier",
 }
 
-MONEY = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))"
-
 
 def total(value: str) -> str:
     return f"CAST(SUM(CAST({value} AS DECIMAL(18, 4))) AS DOUBLE)"

@@ -88,6 +88,14 @@ def test_plan_as_data(small):
     assert small.compare(sql)["reduce"]["rows"] == small.compare(sql)["sql"]["rows"]
 
 
+def test_foreign_key_diamond(spark, sf_dir):
+    e = workload.engine(spark, sf_dir)
+    sql = workload.QUERIES["tpch_q5"].sql
+    assert not e.is_acyclic(sql)
+    plan = e.plan(sql, most=3)
+    assert plan["joinTrees"] and all(t["extraConditions"] for t in plan["joinTrees"])
+
+
 def test_set_semantics(small):
     sql = "SELECT a.x FROM A a, B b WHERE a.y = b.x"
     assert small.sql(sql, semantics="set").count() == small.sql(sql).distinct().count()
