@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 CAPACITY = 4096
 END = 2
 GROUP_TOKENS = 2 << 20
-CACHE = 300_000
+CACHE = 150_000
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),

@@ -29,7 +29,7 @@ from .scratch import parts_for
 SPAN, K = 50, 20
 SIDE = SPAN - K
 WIDTH = K + 2 * SIDE
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 HOT_BLOCKS = 512
 NONE = 255
 NULL_ID = -(1 << 63)
@@ -98,10 +98,15 @@ def contexts(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray
     """(bytes, left, right): the WIDTH bytes around each anchor, zero outside its row, and how many each side has."""
     left = np.minimum(SIDE, at - low).astype(np.uint8)
     right = np.minimum(SIDE, high - at - K).astype(np.uint8)
-    column = np.arange(WIDTH)
-    rows = data[np.clip(at[:, None] + (column - SIDE), 0, max(0, len(data) - 1))]
-    rows[(column < SIDE - left[:, None].astype(np.int64)) | (column >= SIDE + K + right[:, None].astype(np.int64))] = 0
-    return np.ascontiguousarray(rows), left, right
+    column, last = np.arange(WIDTH, dtype=np.int64), max(0, len(data) - 1)
+    rows = np.empty((len(at), WIDTH), np.uint8)
+    for s in range(0, len(at), 16_384):  # the index matrix is eight times the rows
+        e = s + 16_384
+        part = data[np.clip(at[s:e, None] + (column - SIDE), 0, last)]
+        outside = (column < SIDE - left[s:e, None].astype(np.int64)) | (column >= SIDE + K + right[s:e, None].astype(np.int64))
+        part[outside] = 0
+        rows[s:e] = part
+    return rows, left, right
 
 
 # ---------------------------------------------------------------- suffix order
@@ -439,6 +444,7 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", block_bytes: int = BLOC
     extra = [c for c in docs.columns if c == REST]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *extra)
     n = parts_for(own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], block_bytes)
+    buckets = max(1, n // 2)
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n)).cast("long")).repartition(n, "block")
     out_schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
@@ -446,10 +452,12 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", block_bytes: int = BLOC
     )
 
     def ask(table: pa.Table) -> pa.Table:
-        return Block(table, n).keys(table["block"][0].as_py())
+        A.release()
+        return Block(table, buckets).keys(table["block"][0].as_py())
 
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
-        block = Block(table, n)
+        A.release()
+        block = Block(table, buckets)
         marks = _marks(shared)
         block.entries(marks)
         sent = block.contexts(table["block"][0].as_py())
@@ -457,10 +465,12 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", block_bytes: int = BLOC
         return pa.concat_tables([sent, _table(KEYS, [[-1 - b for b in marks], [table["block"][0].as_py()] * len(marks), list(marks.values())])])
 
     def decide(table: pa.Table) -> pa.Table:
+        A.release()
         return table.select(KEYS.names) if table["bucket"][0].as_py() < 0 else _decide(table)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table, n)
+        A.release()
+        block = Block(table, buckets)
         got = _marks(answers)
         block.entries({-1 - b: x for b, x in got.items() if b < 0})
         gone = block.removed({b: x for b, x in got.items() if b >= 0})
@@ -494,10 +504,13 @@ def suffix_dedup(docs: DataFrame, *, text: str = "text", block_bytes: int = BLOC
 def cut_texts(docs: DataFrame, **options) -> DataFrame:
     """docs with what earlier documents have cut out of their texts, whole characters at a time; a document of which nothing
     is left is dropped, one that had no text stays as it is. Columns as they were; n_chars, where there is one, follows."""
-    rows = docs.select(F.struct("*").alias(REST), "doc_id", "text")
-    found = suffix_dedup(rows, as_text=True, **options).where("n_removed < n_bytes OR n_bytes = 0")
-    text = F.expr(f"if(n_removed = 0, {REST}.text, kept)")
-    made = {"text": text} | ({"n_chars": F.expr(f"if(n_removed = 0, {REST}.n_chars, length(kept))").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    flag = "__no_text"  # of the text itself only this is passed on beside it
+    rest = F.struct(*others, F.col("text").isNull().alias(flag))
+    found = suffix_dedup(docs.select(rest.alias(REST), F.col("doc_id"), F.col("text")), as_text=True, **options).where("n_removed < n_bytes OR n_bytes = 0")
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.expr(f"if({REST}.{flag}, NULL, kept)")}
+    if "n_chars" in others:
+        made["n_chars"] = F.expr(f"if(n_removed = 0, {REST}.n_chars, length(kept))").cast(docs.schema["n_chars"].dataType)
     return found.select(*(made[c].alias(c) if c in made else F.col(f"{REST}.`{c}`").alias(c) for c in docs.columns))
 
 
