@@ -201,12 +201,13 @@ _add("x_cast", "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) AS d, CAST(n_nat
 
 #: The same queries by the join-tree plan, whatever `auto` would do.
 for _name in (
-    "graph_q1", "graph_q2", "graph_q3", "graph_q6", "graph_q7", "graph_q8", "trade_q9", "rst_q11", "topk_line2", "topk_line3", "topk_line4", "topk_star", "topk_tree", "j_triangle",
+    "graph_q1", "graph_q2", "graph_q3", "graph_q4", "graph_q5", "graph_q6", "graph_q7", "graph_q8", "graph_q10", "trade_q9", "rst_q11", "topk_line2", "topk_line3", "topk_line4", "topk_star", "topk_tree", "j_triangle",
     "tpch_q3", "tpch_q4", "tpch_q5", "tpch_q7", "tpch_q8", "tpch_q10", "tpch_q12", "tpch_q18", "f_or_residual", "f_string_cmp", "j_band", "j_composite", "j_explicit_on", "a_count_distinct",
+    "j_semi_distinct", "j_two_comparisons", "j_three_comparisons", "a_distinct", "a_set_mode",
 ):
     QUERIES[f"reduce_{_name}"] = Query(QUERIES[_name].sql, QUERIES[_name].duck, "reduce")
 for _name, _sql in (("set_graph_q4", "graph_q4"), ("set_graph_q5", "graph_q5"), ("set_a_mode", "a_set_mode")):
-    QUERIES[_name] = Query(QUERIES[_sql].sql.replace("SELECT DISTINCT", "SELECT", 1), QUERIES[_sql].sql, "auto", "set")
+    QUERIES[_name] = Query(QUERIES[_sql].sql.replace("SELECT DISTINCT", "SELECT", 1), QUERIES[_sql].sql, "reduce", "set")
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:

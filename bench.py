@@ -56,7 +56,7 @@ def main() -> None:
         return round(best, 3)
 
     seconds = {name: timed(name, "auto") for name in QUERIES}
-    pairs = {name: {"reduce": seconds[name], "sql": timed(name, "sql")} for name in PAIRS}
+    pairs = {name: {"reduce": timed(name, "reduce"), "sql": timed(name, "sql")} for name in PAIRS}
     print(json.dumps({"metric": "total seconds of the headline queries, best of two counts each", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "pairs": pairs, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     sys.stdout.flush()
     spark.stop()

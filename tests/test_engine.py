@@ -9,7 +9,7 @@ from arbora.operators import joins
 from arbora.plans.frontend import Unsupported
 from arbora.sources import files
 
-SOME = ["graph_q1", "graph_q3", "graph_q4", "graph_q5", "graph_q10", "trade_q9", "rst_q11", "topk_tree", "tpch_q5", "tpch_q8", "tpch_q15", "reduce_graph_q1", "reduce_graph_q2", "reduce_graph_q3", "reduce_trade_q9", "reduce_tpch_q5",
+SOME = ["graph_q1", "graph_q3", "graph_q4", "graph_q5", "graph_q10", "trade_q9", "rst_q11", "topk_tree", "tpch_q5", "tpch_q8", "tpch_q15", "reduce_graph_q1", "reduce_graph_q2", "reduce_graph_q3", "reduce_graph_q4", "reduce_graph_q5", "reduce_graph_q10", "reduce_j_three_comparisons", "reduce_trade_q9", "reduce_tpch_q5",
         "reduce_j_band", "set_graph_q5", "f_not_like", "f_or_residual", "f_null", "j_two_comparisons", "j_three_comparisons", "a_having", "a_rollup", "x_intdiv", "op_triangles", "op_band_join", "op_staircase_semi"]
 
 
@@ -75,6 +75,14 @@ def test_routes(small):
         small.sql(plain, strategy="nonsense")
 
 
+def test_size_decides(spark, small):
+    sql = "SELECT DISTINCT b.x FROM A a, B b, C c WHERE a.y = b.x AND b.y = c.x AND a.w < c.w"
+    names = lambda e: e.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
+    always, never = Engine(spark, small_bytes=0), Engine(spark, small_bytes=1 << 200)
+    assert "LeftSemi" in names(always) and "LeftSemi" not in names(never)
+    assert oracle.spark_rows(always.sql(sql)) == oracle.spark_rows(never.sql(sql))
+
+
 def test_plan_as_data(small):
     sql = "SELECT a.x, b.x AS bx, c.y FROM A a, B b, C c WHERE a.y = b.x AND b.y = c.x AND a.w < c.w"
     plan = small.plan(sql)
