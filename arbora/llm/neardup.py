@@ -3,12 +3,13 @@
 1. One pass turns each text into its set of distinct word shingles, the set's digest, and min-hash signatures. Equal sets
    are one class from here on, represented by the smallest document.
 2. Every tree orders the classes by its own sequence of min-hashes. A region of a tree is a run of neighbours in that order
-   with a long enough common prefix: three hashes, or nine where three leave more than `dense` classes in the run
-   (depth adapts to the region). A pair at similarity 0.75 misses all 24 trees' three-hash regions with a
-   probability of 2e-6. Regions that share classes are merged.
+   with a common prefix of three hashes, however many they are. A pair at similarity 0.75 misses all 24 trees' regions with
+   a probability of 2e-6. Regions that share classes are merged.
 3. Each merged region's full sets meet in one task, where an inverted index over its shingles counts all intersections, so
    every link inside it is confirmed exactly. Regions of more than `tile` shingles are cut into tiles, and each pair of
-   tiles is a task of its own. Tasks return spanning edges, not pairs.
+   tiles is a task of its own. Tasks return spanning edges, not pairs. Where such a region has more than `dense` classes,
+   each tile first meets tile 0 alone. Members of the largest component that makes needn't meet each other any more;
+   every other pair of the region still does.
 4. Components of those edges are the groups.
 """
 
@@ -64,11 +65,9 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sig: np.ndarray) -> np.ndarray:
-    """Per tree a hash of its three-hash prefix, then per tree one of its nine-hash prefix, tree number included."""
+    """Per tree a hash of its three-hash prefix, tree number included."""
     h = (sig.astype(np.uint64) + A.U(1)) * _MARK
-    short = A.mix(h.reshape(len(sig), TREES, DEPTH).sum(axis=2))
-    long = A.mix(short + np.roll(short, 5, axis=1) * A.U(3) + np.roll(short, 11, axis=1) * A.U(5))
-    return np.concatenate([short, long], axis=1)
+    return A.mix(h.reshape(len(sig), TREES, DEPTH).sum(axis=2))
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -80,28 +79,23 @@ def _scan(docs: DataFrame) -> DataFrame:
                 n = np.diff(at)
                 some = n > 0
                 d = np.zeros((2, j - i), np.uint64)
-                keys = np.zeros((int(some.sum()), 2 * TREES), np.uint64)
+                keys = np.zeros((int(some.sum()), TREES), np.uint64)
                 if some.any():
                     d[0][some] = np.add.reduceat(flat, at[:-1][some])
                     d[1][some] = np.add.reduceat(A.mix(flat * A.U(3)), at[:-1][some])
                     keys = prefixes(signatures(flat, at))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * 2 * TREES)]).astype(np.int32), pa.array(keys.view(np.int64).ravel()))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * TREES)]).astype(np.int32), pa.array(keys.view(np.int64).ravel()))
                 ids = b.column(0).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), lists], SCANNED.names)
 
     return docs.mapInArrow(run, SCANNED)
 
 
-def _candidates(classes: DataFrame, dense: int) -> DataFrame:
+def _candidates(classes: DataFrame) -> DataFrame:
     """Edges between each region's classes and its smallest one."""
-    rows = classes.select("rep", F.explode(F.sequence(F.lit(1), F.lit(TREES))).alias("tree"), "prefixes").select(
-        "rep", F.expr("prefixes[tree - 1]").alias("p"), F.expr(f"prefixes[tree + {TREES - 1}]").alias("deeper")
-    )
+    rows = classes.select("rep", F.explode("prefixes").alias("p"))
     regions = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
-    runs = materialise(rows.join(regions, "p"))
-    deep = runs.where(F.col("n") > dense)
-    deeper = deep.groupBy("deeper").agg(F.min("rep").alias("least"))
-    return runs.where(F.col("n") <= dense).select(F.col("rep").alias("a"), F.col("least").alias("b")).union(deep.drop("least").join(deeper, "deeper").select("rep", "least"))
+    return rows.join(regions, "p").select(F.col("rep").alias("a"), F.col("least").alias("b"))
 
 
 class _Forest:
@@ -155,22 +149,22 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[int]:
 SETS = T.StructType([T.StructField(n, T.LongType()) for n in ("bin", "i", "j", "region", "rep")] + [T.StructField("shingles", T.BinaryType())])
 
 
-def _sets(rows: DataFrame, bins: int) -> DataFrame:
-    """A row for each task that needs the class's set. rows: rep, text, region, tiles, tile, bin."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """A row for each task that needs the class's set. rows: rep, text, region, tile, meets (tiles from 0 up to there, 0: shares a task), bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = A.text_bytes(b.column("text"))
-            region, rep, tiles, tile, bin_ = (b.column(n).to_pylist() for n in ("region", "rep", "tiles", "tile", "bin"))
+            region, rep, meets, tile, bin_ = (b.column(n).to_pylist() for n in ("region", "rep", "meets", "tile", "bin"))
             for i, j in A.row_pieces(offsets):
                 flat, at = A.shingle_sets(A.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1], A.BLANKS), WORDS)
                 out: list[tuple] = []
                 for k in range(i, j):
                     own = flat[at[k - i] : at[k - i + 1]].tobytes()
-                    if tiles[k] == 1:
+                    if meets[k] == 0:
                         out.append((bin_[k], -1, -1, region[k], rep[k], own))
                     else:
-                        out += [(region[k], min(tile[k], x), max(tile[k], x), region[k], rep[k], own) for x in range(tiles[k])]
+                        out += [(region[k], min(tile[k], x), max(tile[k], x), region[k], rep[k], own) for x in range(meets[k])]
                     if len(out) > 500:
                         yield pa.RecordBatch.from_pylist([dict(zip(SETS.names, x, strict=True)) for x in out], _ARROW)
                         out = []
@@ -200,6 +194,18 @@ def _confirm(percent: int):
     return run
 
 
+def _unsettled(large: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
+    """Tiles for the pairs of large regions that are not both in the region's largest component: the other classes' tiles
+    come first and meet every tile, those of the largest component meet the other classes' only."""
+    placed = materialise(large.join(groups.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    main = placed.groupBy("region", "component").agg(F.sum("n_shingles").alias("size")).groupBy("region").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    placed = placed.join(main, "region").withColumn("rest", F.col("component") != F.col("main"))
+    share = lambda rest: F.ceil(F.sum(F.when(rest, F.col("n_shingles")).otherwise(0)) / tile).cast("long")
+    counts = placed.groupBy("region").agg(share(F.col("rest")).alias("first"), share(~F.col("rest")).alias("more")).where("first > 0")
+    dealt = placed.join(counts, "region")
+    return dealt.selectExpr("doc_id", "region", "if(rest, pmod(xxhash64(doc_id), first), first + pmod(xxhash64(doc_id), more)) AS tile", "if(rest, first + more, first) AS meets")
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", percent: int = PERCENT, dense: int = DENSE, tile: int = TILE) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -212,15 +218,25 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", percent: int = PERCE
     classes = materialise(
         scanned.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n_shingles", "prefixes")).alias("s")).select("d1", "d2", F.col("s.doc_id").alias("rep"), "s.n_shingles", "s.prefixes")
     )
-    regions = components(_candidates(classes, dense))
-    sized = regions.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node")
-    total = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
-    members = sized.select("node", "component").distinct().join(total, "component")
+    regions = components(_candidates(classes))
+    sized = regions.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").select("node", "component", "n_shingles").distinct()
+    total = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("n"))
     tiles = F.ceil(F.col("total") / tile).cast("long")
-    members = materialise(members.select(F.col("node").alias("doc_id"), F.col("component").alias("region"), tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("tile"), "total"))
+    members = sized.join(total, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("region"), "n_shingles", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("tile"), (F.col("n") > dense).alias("large"))
+    members = materialise(members.withColumn("meets", F.expr("CASE WHEN tiles = 1 THEN 0 WHEN large AND tile > 0 THEN 1 ELSE tiles END")))
     bins = parts_for(total.where(F.col("total") <= tile).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0], tile)
-    rows = own.join(members.drop("total").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "region", "tiles", "tile", F.pmod(F.xxhash64("region", F.lit(1)), F.lit(bins)).alias("bin"))
-    groups = components(_sets(rows, bins).groupBy("bin", "i", "j").applyInArrow(_confirm(percent), "a long, b long"))
+
+    def links(part: DataFrame) -> DataFrame:
+        rows = own.join(part.select("doc_id", "region", "tile", "meets").hint("shuffle_hash"), "doc_id")
+        rows = rows.select(F.col("doc_id").alias("rep"), "text", "region", "tile", "meets", F.pmod(F.xxhash64("region", F.lit(1)), F.lit(bins)).alias("bin"))
+        return _sets(rows).groupBy("bin", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
+
+    edges = links(members)
+    large = members.where("large AND tiles > 1").select("doc_id", "region", "n_shingles")
+    if not large.isEmpty():
+        edges = materialise(edges)
+        edges = edges.union(links(_unsettled(large, components(edges), tile)))
+    groups = components(edges)
     named = classes.select("d1", "d2", "rep").join(groups.toDF("rep", "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     found = scanned.drop("prefixes").join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.expr("if(n_shingles > 0, component, doc_id)").alias("component_id"))
     back = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)

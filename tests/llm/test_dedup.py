@@ -1,6 +1,7 @@
 """Suffix dedup and near duplicates against brute force."""
 
 import hashlib
+import random
 
 import brute
 import numpy as np
@@ -68,6 +69,25 @@ def test_near_duplicates(docs, rows, options):
     assert len(wrong) == 0 or options.get("dense") and len(wrong) < 10  # deeper prefixes may miss links
 
 
+@pytest.mark.parametrize("options", [{"dense": 1}, {"dense": 1, "tile": 50}, {"dense": 1, "tile": 300}])
+def test_near_duplicates_of_dense_regions_are_whole(spark, options):
+    rng = random.Random(11)
+    template = [f"w{k}" for k in range(44)]
+    rows = []
+    for i in range(150):  # one family: copies with up to two words changed, on both sides of 0.75
+        words = list(template)
+        for k in rng.sample(range(44), rng.randrange(3)):
+            words[k] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    for i in range(80):  # pairs at exactly 0.75: 30 of 40 shingles shared
+        words = [f"{i}w{k}" for k in range(39)]
+        rows += [(1000 + 2 * i, " ".join(words)), (1001 + 2 * i, " ".join([*words[:20], "other", *words[21:]]))]
+    expected = brute.near_duplicates(rows)
+    assert all(expected[1001 + 2 * i][1] == 1000 + 2 * i for i in range(80))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == expected
+
+
 def test_near_duplicate_query(spark, sf_dir, real_rows):
     found = {r.doc_id: tuple(r)[1:] for r in neardup.query(spark, sf_dir).collect()}
     assert found == brute.near_duplicates(real_rows)
