@@ -2,24 +2,31 @@
 
 Training (on the driver, from the templates below) is a softmax regression over the presence of words and word pairs, with a class
 for paragraphs that are no licence; a temperature fitted on held-out paragraphs calibrates its probabilities, so that an
-unfamiliar paragraph falls to `unknown`. The main path is native: paragraphs with a cue word (others are unknown by
-definition) are reduced to distinct ones, their n-grams joined with the sparse weights, and the scores summed per class.
-A family counts only if a template of its own shares enough n-grams with the paragraph.
+unfamiliar paragraph falls to `unknown`. A family counts only if a template of its own shares enough n-grams with the
+paragraph. The main path is native: paragraphs that share enough with any template (no other can be confirmed) are reduced
+to distinct ones, their n-grams joined with the sparse weights, and the scores summed per class. Texts are looked through
+for key words first: without a template's key words, too few of its n-grams are left to confirm it.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import math
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialise
+
 UNKNOWN = "unknown"
 CERTAIN = 0.5
 CONFIRMED = 0.5
 SPLIT = "[^a-z0-9]+"
+#: Between paragraphs: lines without a letter or digit.
+BLANK = r"\n[^\p{L}\p{N}]*\n"
 CUES = ("licen", "copyright", "redistribut", "public domain", "creative commons", "permission")
 
 #: Statements by which works name their licences, by family.
@@ -96,6 +103,38 @@ def grams(text: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True))}
 
 
+#: Not taken as key words alone. Any choice gives the same results; these are found in many texts.
+COMMON = set("a 0 1 2 3 4 v nc met to of by in is or it any the and not are can may you all has use for with this that work person without into under either following free later law".split())
+
+
+def needed(own: set[str]) -> int:
+    """N-grams that confirm a template with these."""
+    return math.ceil(CONFIRMED * len(own))
+
+
+def key_words() -> list[tuple[str, ...]]:
+    """Groups of strings. A lower-cased text that confirms a template holds all strings of some group.
+
+    Without the words of a template's one-word groups too few of its n-grams are left, or just enough for its other words to
+    be needed as well, which then are a group.
+    """
+    keys: set[tuple[str, ...]] = set()
+    for own in (grams(t) for v in TEMPLATES.values() for t in v):
+        words_ = {w for g in own for w in g.split()}
+        left = lambda gone: sum(not gone & set(g.split()) for g in own)  # noqa: E731, B023
+        gone: set[str] = set()
+        for w in sorted(words_ - COMMON, key=lambda w: ((w,) not in keys, left({w}), w)):  # noqa: B023
+            if left(gone) >= needed(own):
+                gone.add(w)
+        for w in sorted(gone):
+            if left(gone - {w}) < needed(own):
+                gone.remove(w)
+        keys |= {(w,) for w in gone}
+        if left(gone) >= needed(own):
+            keys.add(tuple(sorted(w for w in words_ - gone if left(gone | {w}) < needed(own))))
+    return sorted(k for k in keys if not any(all(any(p in q for q in k) for p in o) for o in keys - {k}))
+
+
 def train(seed: int = 1, copies: int = 40) -> dict:
     """Classes, n-grams, weights (n-grams and a last row of intercepts, classes) and the held-out accuracy.
 
@@ -171,11 +210,36 @@ def _rows(spark, rows: list, kind: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
 
 
+def _bound(value, then):
+    """then(value), where the value is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def gram_array(text):
     """Distinct words and word pairs of a column."""
-    w = F.filter(F.split(F.lower(text), SPLIT), lambda t: t != "")
-    pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(w, F.slice(pairs, 1, F.greatest(F.size(w) - 1, F.lit(0)))))
+
+    def both(w):
+        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.concat(w, F.slice(pairs, 1, F.greatest(F.size(w) - 1, F.lit(0)))))
+
+    return _bound(F.filter(F.split(F.lower(text), SPLIT), lambda t: t != ""), both)
+
+
+def _any(conditions: list):
+    return functools.reduce(lambda a, b: a | b, conditions)
+
+
+def has_key(text):
+    """Whether a column has a key word; false only where nothing can be confirmed."""
+    return _bound(F.lower(text), lambda t: _any([functools.reduce(lambda a, b: a & b, [t.contains(w) for w in k]) for k in key_words()]))
+
+
+def confirmable(text):
+    """Whether a column shares enough n-grams with any template."""
+    own = [grams(t) for v in TEMPLATES.values() for t in v]
+    listed = lambda g: F.split(F.lit("|".join(sorted(g))), "[|]")
+    shared = F.array_intersect(gram_array(text), listed(set().union(*own)))
+    return _bound(shared, lambda x: _any([F.size(F.array_intersect(x, listed(o))) >= needed(o) for o in own]))
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
@@ -202,16 +266,19 @@ def classify(paragraphs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """doc_id, families (sorted, comma-joined; empty if there are none), n_paragraphs (confirmed) and least_probability.
 
-    Paragraphs are a text's lines. Null and empty texts have none. Rows that repeat a doc_id are one document; null ids are one,
-    too. An empty table gives no rows.
+    Paragraphs are what blank lines (or lines without a letter or digit) separate, so that wrapped lines are one, and single
+    lines. A paragraph of several lines isn't counted where one of its lines names the same family. Null and empty
+    texts have none. Rows that repeat a doc_id are one document; null ids are one, too. An empty table gives no rows.
     """
     own = docs.select("doc_id", F.col(text).alias("text"))
-    low = F.lower("text")
-    some = own.where(F.greatest(*(low.contains(c) for c in CUES)))
-    lines = some.select("doc_id", F.explode(F.split("text", "\n")).alias("paragraph"))
-    line = F.lower("paragraph")
-    lines = lines.where(F.greatest(*(line.contains(c) for c in CUES)))
-    found = lines.join(classify(lines), "paragraph").groupBy("doc_id").agg(
+    some = own.where(has_key(F.col("text")))
+    several = F.filter(F.split("text", BLANK), lambda b: b.contains("\n"))
+    parts = some.select("doc_id", F.explode(F.concat(F.split("text", "\n"), several)).alias("paragraph"))
+    parts = materialise(parts.where(has_key(F.col("paragraph"))).where(confirmable(F.col("paragraph"))))
+    named = materialise(classify(parts))
+    wrapped = named.where(F.col("paragraph").contains("\n")).select("paragraph", "family", F.explode(F.split("paragraph", "\n")).alias("line"))
+    again = wrapped.join(named.select(F.col("paragraph").alias("line"), "family"), ["line", "family"]).select("paragraph", "family").distinct()
+    found = parts.join(named.join(again, ["paragraph", "family"], "left_anti"), "paragraph").groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"), F.min("probability").alias("least_probability")
     )
     ids = own.select(F.col("doc_id").alias("id")).distinct()

@@ -1,5 +1,7 @@
 """URL filter, licence scan, toxicity, sharding, the pipeline, and how it all hangs together."""
 
+import random
+import re
 import subprocess
 import sys
 import zlib
@@ -77,6 +79,47 @@ def test_licences_odd_tables(spark, docs, rows, empty):
     assert {r.doc_id: (r.families, r.n_paragraphs) for r in licensescan.scan(odd).collect()} == {None: ("mit", 1), 1: ("cc-by-nc-4.0,mit", 2)}
 
 
+MPL = "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0."
+GPL = """ * This program is free software: you can redistribute it
+ * and/or modify it under the terms of the GNU General
+ * Public License, either version 3 of the License,
+ * or any later version."""
+
+
+def test_licences_without_cue_words_and_wrapped(spark):
+    m = licensescan.model()
+    lines = ["Distributed under the terms of the GNU GPL, version 3.", "Released under CC BY 4.0.", "This project is distributed under Apache 2.0.", "She drove to the coast."]
+    texts = [*lines, MPL, f"Some words.\n\n{MPL}\n\nMore words.", f"/*\n * Words.\n *\n{GPL}\n *\n */\nint x;", "Released under the MIT License.\nand more of it", *licensescan.OTHERS]
+    expected = {}
+    for i, t in enumerate(texts):
+        count = []
+        for block in re.split(r"\n(?:[^\w\n]*\n)+", t):
+            own = [f for f in map(lambda p: whole(m, p), block.split("\n")) if f]
+            f = whole(m, block)
+            count += own + ([f] if f and f not in own else [])
+        expected[i] = (",".join(sorted(set(count))), len(count))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.families, r.n_paragraphs) for r in licensescan.scan(df).collect()} == expected
+    assert expected[1] == ("cc-by-4.0", 1) and expected[4] == expected[5] == ("mpl-2.0", 1) and expected[6] == ("gpl-3.0", 1) and expected[7] == ("mit", 1)
+
+
+def whole(m, text):
+    family, p = by_hand(m, text)
+    own = licensescan.grams(text)
+    shares = [len(own & licensescan.grams(t)) / len(licensescan.grams(t)) for t in licensescan.TEMPLATES.get(family, ())]
+    return family if p >= licensescan.CERTAIN and max(shares, default=0) >= licensescan.CONFIRMED else None
+
+
+def test_key_words_exclude_nothing_confirmable():
+    keys, rng = licensescan.key_words(), random.Random(5)
+    for t in (t for v in licensescan.TEMPLATES.values() for t in v):
+        own = licensescan.grams(t)
+        for _ in range(300):
+            text = " ".join(w for w in licensescan.words(t) if rng.random() < 0.7)
+            assert len(own & licensescan.grams(text)) / len(own) < licensescan.CONFIRMED or any(all(w in text for w in k) for k in keys)
+    assert not any(all(w in "she drove to the coast and came by again" for w in k) for k in keys)
+
+
 def test_toxicity_on_held_out_rows(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
