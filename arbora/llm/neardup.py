@@ -1,10 +1,10 @@
-"""Near-duplicate groups with an LSH forest and confirmation on full shingle sets.
+"""Near-duplicate groups with banded min-hashes and confirmation on full shingle sets.
 
 1. One pass turns each text into its set of distinct word shingles, the set's digest, and min-hash signatures. Equal sets
    are one class from here on, represented by the smallest document.
-2. Every tree orders the classes by its own sequence of min-hashes. A region of a tree is a run of neighbours in that order
-   with a common prefix of three hashes, however many they are. A pair at similarity 0.75 misses all 24 trees' regions with
-   a probability of 2e-6. Regions that share classes are merged.
+2. Every tree is a band of three min-hashes of its own (fixed banding; nothing is sorted). A region of a tree is all classes
+   with the same three, however many they are. A pair at similarity 0.75 misses all 24 trees' regions with a probability
+   of 2e-6. Regions that share classes are merged.
 3. Each merged region's full sets meet in one task, where an inverted index over its shingles counts all intersections, so
    every link inside it is confirmed exactly. Regions of more than `tile` shingles are cut into tiles, and each pair of
    tiles is a task of its own. Tasks return spanning edges, not pairs. Where such a region has more than `dense` classes,
@@ -65,7 +65,7 @@ def signatures(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def prefixes(sig: np.ndarray) -> np.ndarray:
-    """Per tree a hash of its three-hash prefix, tree number included."""
+    """Per tree a hash of its three min-hashes, tree number included."""
     h = (sig.astype(np.uint64) + A.U(1)) * _MARK
     return A.mix(h.reshape(len(sig), TREES, DEPTH).sum(axis=2))
 
