@@ -29,28 +29,34 @@ FOUND = T.StructType(
 
 
 class Windows:
-    """The distinct windows of a block of items, by length, with the items that hold them."""
+    """The distinct windows of a block of items, by length, with the items that hold them; all in arrays, some 80 bytes a word."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        column = pa.array([t for _, t in items], pa.string())
-        data, offsets = A.text_bytes(column)
+    def __init__(self, items: list[str | None], texts: pa.Array, window: int = WINDOW):
+        data, offsets = A.text_bytes(texts)
         w = A.Words(data, offsets, A.ALNUM)
-        self.vocabulary, term = np.unique(w.hash, return_inverse=True)
-        lowered = A.ALNUM[data]
-        self.words = [b""] * len(self.vocabulary)
-        for t, s, e in zip(term.tolist(), w.start.tolist(), w.end.tolist(), strict=True):
-            self.words[t] = lowered[s:e].tobytes()
-        self.items = [i for i, _ in items]
-        grouped: dict[int, dict[tuple, set[int]]] = {}
-        for r in range(len(items)):
-            ids = term[w.first[r] : w.first[r + 1]].tolist()
-            n = min(len(ids), window)
-            for i in range(len(ids) - n + 1) if n else ():
-                grouped.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(r)
-        self.by_length = {n: (np.array(list(x), np.int64).reshape(-1, n), list(map(sorted, x.values()))) for n, x in grouped.items()}
+        self.items = items
+        self.vocabulary, first, term = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.lowered, self.start, self.end = A.ALNUM[data], w.start[first], w.end[first]
+        term = term.astype(np.int32)
+        size = np.minimum(w.count, window)
+        #: length -> (distinct windows' terms, and per window a stretch of owners)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size[size > 0]).tolist():
+            rows = np.flatnonzero(size == n)
+            each = w.count[rows] - n + 1
+            owner = np.repeat(rows, each).astype(np.int32)
+            start = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(w.first[rows], each)
+            terms = term[start[:, None] + np.arange(n)]
+            order = np.lexsort((owner, *terms.T[::-1]))
+            terms, owner = terms[order], owner[order]
+            new = np.append(True, (terms[1:] != terms[:-1]).any(axis=1))
+            self.by_length[n] = terms[new], np.append(np.flatnonzero(new), len(owner)), owner
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.vocabulary >> A.U(44)] = True
 
+    def word(self, term: int) -> bytes:
+        return self.lowered[self.start[term] : self.end[term]].tobytes()
+
 
 class Shard:
     """Positional postings of the vocabulary's terms in a run of documents."""
@@ -131,19 +137,20 @@ def _annotate(texts: pa.Array, windows: Windows) -> tuple[np.ndarray, list, list
         counts[i:j] = w.count
         shard = Shard(w, windows)
         marks, held = np.zeros(shard.n + 1, np.int64), set()
-        for n, (terms, owners) in windows.by_length.items():
+        for n, (terms, cut, owner) in windows.by_length.items():
             for k, s in zip(*(x.tolist() for x in shard.phrases(terms)), strict=True):
                 text = [A.ALNUM[run[a:b]].tobytes() for a, b in zip(w.start[s : s + n].tolist(), w.end[s : s + n].tolist(), strict=True)]
-                if text == [windows.words[t] for t in terms[k].tolist()]:  # hashes only propose
+                if text == [windows.word(t) for t in terms[k].tolist()]:  # hashes only propose
                     marks[s] += 1
                     marks[s + n] -= 1
-                    held.update((int(w.row[s]), o) for o in owners[k])
+                    held.update((int(w.row[s]), o) for o in owner[cut[k] : cut[k + 1]].tolist())
         hit = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
         for r in np.unique(w.row[hit]).tolist():
             a, b = np.searchsorted(hit, [w.first[r], w.first[r + 1]])
             hits[i + r] = (hit[a:b] - w.first[r]).tolist()
         for r, o in held:
-            items[i + r].append(windows.items[o])
+            if windows.items[o] is not None:
+                items[i + r].append(windows.items[o])
     return counts, hits, items
 
 
@@ -169,19 +176,22 @@ def _pass(df: DataFrame, windows, text: str) -> DataFrame:
 
 def blocks(benchmark: DataFrame, block_bytes: int, window: int) -> Iterator[Windows]:
     """The benchmark's windows in blocks of about block_bytes of text each."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t IS NOT NULL")
     n = parts_for(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0], block_bytes)
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        yield Windows([(r.i, r.t) for r in part.collect()], window)
+        table = part.toArrow()
+        yield Windows(table["i"].to_pylist(), table["t"], window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
     """docs with n_words, hit_words (numbers of the words inside any benchmark window, ascending) and items (their ids, as
     sorted strings).
 
-    Null and empty texts have no words. A null item or item id is left out. An empty benchmark hits nothing. Repeated
-    rows are each judged alone. docs' own columns of these three names are replaced.
+    Null and empty texts have no words. A null benchmark text has no windows; an item without an id hits like any other, but
+    `items` leaves it out. An empty benchmark hits nothing; an empty docs gives no rows. Repeated rows are each judged alone.
+    A text of any length is one document: its words are indexed together, about 60 bytes of memory each. docs' own
+    columns of these three names are replaced.
     """
     spark = docs.sparkSession
     out = docs.drop(*FOUND.names)
@@ -195,15 +205,19 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     return (F.col(n_hit) > 0) & (F.col(n_hit) * 20 >= F.col(n_words))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without contaminated ones; columns as they were."""
-    found = decontaminate(docs.select(F.struct("*").alias("row"), F.col("text")), benchmark, **options)
-    return found.withColumn("n_hit", F.size("hit_words")).where(~contaminated()).select("row.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """docs in which no benchmark window occurs; columns as they were, whatever their names.
+
+    Any hit counts, however long the document is: its text would take the passage along. Null and empty texts stay, as do all
+    with an empty benchmark. An empty table gives none. Repeated rows go or stay together.
+    """
+    found = decontaminate(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), benchmark, **options)
+    return found.where(F.size("hit_words") == 0).select("row.*")
 
 
 def proximity(docs: DataFrame, phrase: str, slop: int) -> DataFrame:
     """docs in which all the phrase's words stand within slop consecutive words, in any order."""
-    windows = docs.sparkSession.sparkContext.broadcast(Windows([("", phrase)], 1 << 30))
+    windows = docs.sparkSession.sparkContext.broadcast(Windows([""], pa.array([phrase]), 1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = windows.value

@@ -8,13 +8,13 @@ _BLANKS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
 DECONTAMINATE = f"""WITH
 d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
 windows AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS g
     FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT item, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0))),
 starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n),
 found AS (SELECT doc_id, s.n, k, item FROM (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM starts) s JOIN windows USING (n, g)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM found)) GROUP BY doc_id),
-held AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM found GROUP BY doc_id)
+held AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item) FILTER (item IS NOT NULL)), ',') AS items FROM found GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)"""

@@ -91,8 +91,8 @@ def decontaminate(rows: list[tuple], items: list[tuple], window: int = 13) -> di
     for i, t in items:
         w = ALNUM.findall((t or "").translate(LOWER))
         n = min(window, len(w))
-        for k in range(len(w) - n + 1) if n and i is not None else ():
-            windows[tuple(w[k : k + n])].add(str(i))
+        for k in range(len(w) - n + 1) if n else ():
+            windows[tuple(w[k : k + n])] |= {str(i)} - {"None"}
     lengths = {len(k) for k in windows}
     out = {}
     for i, t in rows:

@@ -17,7 +17,7 @@ ITEMS = [(1, "One two"), (2, None), (None, "lost"), (3, " . "), (3, "one two")]
 @pytest.fixture(scope="module")
 def items(rows):
     long = max((t for _, t in rows if t and len(t) < 5000), key=len)
-    return [*ITEMS, (10, long[:400]), (2, long[100:300].upper()), (11, "x" * 3000)]
+    return [*ITEMS, (None, long[500:620]), (10, long[:400]), (2, long[100:300].upper()), (11, "x" * 3000)]
 
 
 @pytest.mark.parametrize("options", [{}, {"block_bytes": 60}])
@@ -42,6 +42,25 @@ def test_decontaminate_odd_tables(spark, docs, empty):
     assert {tuple(r.items) for r in decontaminate.decontaminate(docs, bench.limit(0)).collect()} == {()}
     left = decontaminate.drop_contaminated(docs, bench)
     assert left.schema == docs.schema and {1003, 1004} & {r.doc_id for r in left.collect()} == set()
+    odd = spark.createDataFrame([(1, "one two " + "x " * 500, ["r"]), (2, "x " * 500, ["r"]), (2, None, None), (None, "", None)], "doc_id long, text string, hit_words array<string>")
+    kept = decontaminate.drop_contaminated(odd, bench)
+    assert kept.schema == odd.schema and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2]
+    lost = spark.createDataFrame([(1, "it is lost")], "doc_id long, text string")
+    assert [(r.hit_words, r.items) for r in decontaminate.decontaminate(lost, bench).collect()] == [([2], [])]
+
+
+def test_windows_hold_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = pa.array([" ".join(f"w{rng.randrange(50_000)}" for _ in range(40)) for _ in range(15_000)])
+    tracemalloc.start()
+    windows = decontaminate.Windows([str(i) for i in range(15_000)], texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(x) for x, _, _ in windows.by_length.values()) == 28 * 15_000 and peak < 70 * texts.nbytes
 
 
 def test_proximity(spark):
