@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 CAPACITY = 4096
 END = 2
 GROUP_TOKENS = 2 << 20
-CACHE = 150_000
+#: Bytes of text parts and ids that are remembered, of parts and of words each, and the longest part that is.
+CACHE, LONGEST = 48 << 20, 64
 PIECES = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -55,12 +56,10 @@ class Ids(dict):
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {ord(chr(c)): level.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
         self.words: dict[str, bytes] = {}
+        self.held = self.held_words = 0
         self[""] = b""
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-            self[""] = b""
         body, tail = part, ""
         if part[-1] in ".,":
             body, tail = part[:-1], part[-1]
@@ -68,22 +67,37 @@ class Ids(dict):
             ids = self.word(body.lower()) + (self.word(tail) if tail else b"")
         else:
             ids = np.array(self.whole.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        self[part] = ids
+        if len(part) <= LONGEST:  # a longer one hardly comes again
+            self.held += _entry(part, ids)
+            if self.held > CACHE:
+                self.clear()
+                self[""] = b""
+                self.held = _entry(part, ids)
+            self[part] = ids
         return ids
 
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
             mapped = word if word.isascii() else word.translate(self.letters)
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            if len(word) <= LONGEST:
+                self.held_words += _entry(word, ids)
+                if self.held_words > CACHE:
+                    self.words.clear()
+                    self.held_words = _entry(word, ids)
+                self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+def _entry(part: str, ids: bytes) -> int:
+    """Bytes that a remembered part takes, with its place in the table."""
+    return part.__sizeof__() + ids.__sizeof__() + 100
+
+
 def _latin(word: str) -> bool:
     if word.isascii():
         return True
@@ -209,7 +223,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, *, text: str = "text", c
     """One row of PIECES for each piece of each document. tokenizer: path of a tokenizer file, the same on every machine.
 
     A null or empty text is the end id alone. A null doc_id is kept as null. Repeated rows are packed each. An empty
-    table gives no rows. Sequence ids are unique and ascend within a partition; they have gaps between partitions.
+    table gives no rows. A text of any length is tokenised whole, its ids (four bytes each) held while it is cut up; a part
+    without white space takes some hundred bytes of memory a character. Other columns, whatever their names, are not read.
+    Sequence ids are unique and ascend within a partition; they have gaps between partitions.
     """
     if tokenizer is None:
         import public_tokenizers

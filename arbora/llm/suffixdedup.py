@@ -347,8 +347,12 @@ def _distinct(g: np.ndarray, h: np.ndarray, rows: np.ndarray, doc: np.ndarray) -
     first = by[np.flatnonzero(new)]
     number = np.empty(len(g), np.int64)
     number[by] = np.cumsum(new) - 1
-    if (rows[first][number] != rows).any():  # hashes only propose equality
-        raise RuntimeError("two contexts collided; change the constants of context_hashes")
+    if (rows[first][number] != rows).any():  # hashes only propose equality: two collided, so order by the bytes themselves
+        by = np.lexsort((*rows.T[::-1], h, g))
+        change = (g[by][1:] != g[by][:-1]) | (h[by][1:] != h[by][:-1]) | (rows[by][1:] != rows[by][:-1]).any(axis=1)
+        new = np.concatenate([[True], change])
+        first = by[np.flatnonzero(new)]
+        number[by] = np.cumsum(new) - 1
     return number, first, np.minimum.reduceat(doc[by], np.flatnonzero(new))
 
 

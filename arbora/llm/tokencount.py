@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 CHUNK = 32_768
 OVERLAP = 256
 LIMIT = 4096
-CACHE = 400_000
+#: Bytes of text parts that are remembered, and the longest part that is.
+CACHE, LONGEST = 64 << 20, 64
 SPACE = "▁"
 
 
@@ -38,11 +39,16 @@ class Counter(dict):
         self.width = np.array([int(p[3:5], 16) & 0xC0 != 0x80 if self.model.is_byte(i) else len(p) for i, p in enumerate(pieces)], np.int64)
         #: No piece runs from another character into a space, so boundaries before spaces are never merged over.
         self.stable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.held = 0
 
     def __missing__(self, part: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        n = self[part] = len(self.model.encode(part))
+        n = len(self.model.encode(part))
+        if len(part) <= LONGEST:  # a longer one hardly comes again
+            self.held += part.__sizeof__() + 120  # the entry, and its place in the table
+            if self.held > CACHE:
+                self.clear()
+                self.held = part.__sizeof__() + 120
+            self[part] = n
         return n
 
     def chunk(self, text: str) -> int:
@@ -112,7 +118,9 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, model: str | None = None, *, text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """docs with n_tokens (long). model: path of a sentencepiece model, the same on every machine.
 
-    Null and empty texts have no tokens. An own column n_tokens is replaced.
+    Null and empty texts have no tokens. Repeated rows are each counted; an empty table gives no rows. A text of any length is
+    counted whole: beyond `chunk` characters piece by piece, or, where it has no lone space, in one growing piece, at some hundred
+    bytes of memory a character. What is remembered between texts is bounded in bytes. An own column n_tokens is replaced.
     """
     if model is None:
         import public_tokenizers
