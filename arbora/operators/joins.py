@@ -47,37 +47,85 @@ def inner(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = (), null_
     return a.join(b, _all(_equal(on, null_safe) + list(extra)), "inner")
 
 
-def semi(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = (), null_safe: bool = False) -> DataFrame:
-    """Rows of a with a partner in b. Without extra conditions b's keys are made distinct first, so a hot key is one row."""
+def semi(a: DataFrame, b: DataFrame, on: Pairs, extra: list[Column] = (), null_safe: bool = False, unique: bool = False) -> DataFrame:
+    """Rows of a with a partner in b. Without extra conditions b's keys are made distinct first, so a hot key is one row;
+    unique: b has each key once as it is."""
     if not on and not extra:
         return a.join(b.limit(1), F.lit(True), "left_semi")
     if not extra:
-        b = b.select(*(y for _, y in on)).distinct()
+        b = b.select(*(y for _, y in on))
+        b = b if unique else b.distinct()
     return a.join(b, _all(_equal(on, null_safe) + list(extra)), "left_semi")
 
 
-def extreme(a: DataFrame, b: DataFrame, on: Pairs, value: Column, least: bool, name: str, null_safe: bool = False) -> DataFrame:
-    """a with a column of the least (or greatest) value of b's matching rows; rows without a match, or only null values, go."""
+def extreme(a: DataFrame, b: DataFrame, on: Pairs, value: Column, least: bool, name: str, null_safe: bool = False, unique: bool = False) -> DataFrame:
+    """a with a column of the least (or greatest) value of b's matching rows; rows without a match, or only null values, go.
+    unique: b has each key once, so its value is joined as it is."""
     best = (F.min if least else F.max)(value).alias(name)
-    small = (b.groupBy(*(y for _, y in on)).agg(best) if on else b.agg(best)).where(F.col(name).isNotNull())
+    if on and unique:
+        small = b.select(*(y for _, y in on), value.alias(name))
+    else:
+        small = b.groupBy(*(y for _, y in on)).agg(best) if on else b.agg(best)
+    small = small.where(F.col(name).isNotNull())
     joined = a.join(small, _all(_equal(on, null_safe)), "inner") if on else a.crossJoin(small)  # one row
     return joined.select(*a.columns, name)
 
 
-def staircase(b: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
-    """Per key the rows of b that no other row beats in both columns (smaller is better): all that a pair of `<` conditions on
-    the two columns can need. Every other row has one at most as large in both."""
-    before = Window.partitionBy(*keys).orderBy(first, second).rowsBetween(Window.unboundedPreceding, -1)
-    least = F.min(second).over(before)
-    return b.select(*keys, first, second).distinct().withColumn("__least", least).where(F.col("__least").isNull() | (F.col(second) < F.col("__least"))).drop("__least")
+def staircase(b: DataFrame, keys: list[Column], first: tuple[Column, bool], second: tuple[Column, bool]) -> DataFrame:
+    """Columns k0.., first, second: per key the pairs of values that no other pair beats in both. (value, whether smaller is better)
+
+    That is all a pair of order comparisons on the two values can need: every other row has one at least as good in both.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = b.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), first[0].alias("first"), second[0].alias("second")).where("first IS NOT NULL AND second IS NOT NULL")
+    best = F.min if second[1] else F.max
+    rows = rows.groupBy(*names, "first").agg(best("second").alias("second"))  # on the map side already
+    order = F.col("first").asc() if first[1] else F.col("first").desc()
+    ahead = best("second").over(Window.partitionBy(*names).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    better = F.col("second") < F.col("ahead") if second[1] else F.col("second") > F.col("ahead")
+    return rows.withColumn("ahead", ahead).where(F.col("ahead").isNull() | better).drop("ahead")
+
+
+def semi_two(a: DataFrame, b: DataFrame, on: Pairs, first: tuple, second: tuple, null_safe: bool = False) -> DataFrame:
+    """Rows of a with a row of b that has the same keys and fulfils two order comparisons: (b's value, operator, a's value) each.
+    Only b's staircase takes part, so on a hot key a row meets a few pairs instead of all of b's rows."""
+    down = lambda c: c[1] in ("<", "<=")
+    stairs = staircase(b, [y for _, y in on], (first[0], down(first)), (second[0], down(second)))
+    stairs = stairs.select(*(F.col(c).alias(f"s_{c}") for c in stairs.columns))
+    pairs = [(x, F.col(f"s_k{i}")) for i, (x, _) in enumerate(on)]
+    extra = [COMPARE[first[1]](F.col("s_first"), first[2]), COMPARE[second[1]](F.col("s_second"), second[2])]
+    return a.join(stairs, _all(_equal(pairs, null_safe) + extra), "left_semi")
+
+
+def inner_band(a: DataFrame, b: DataFrame, on: Pairs, low: Column, at: Column, width: int | float, moment: bool) -> DataFrame:
+    """Inner join of pairs with equal keys where a's `low` and b's `at` lie in one bucket or in neighbouring ones.
+
+    For conditions low <= at <= low + width, which the caller still applies. Values are cut into buckets of that width; a row of
+    a meets two of them, so a hot key is spread over its buckets, and a row meets only what may be in its band. moment: values
+    are timestamps and the width is in microseconds.
+    """
+    number = (lambda c: F.unix_micros(c.cast("timestamp"))) if moment else (lambda c: c)
+    bucket = lambda c: F.floor(number(c) / F.lit(width))
+    left = a.withColumn("band_a", F.explode(F.array(bucket(low), bucket(low) + 1)))
+    return inner(left, b.withColumn("band_b", bucket(at)), [*on, (F.col("band_a"), F.col("band_b"))]).drop("band_a", "band_b")
 
 
-def semi_two(a: DataFrame, b: DataFrame, keys: list[str], first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
-    """Rows of a with a row of b that has the same keys and is smaller in both columns; first and second: (b's, a's)."""
-    stairs = staircase(b, keys, first[0], second[0])
-    stairs = stairs.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(first[0]).alias("__first"), F.col(second[0]).alias("__second"))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__first") < F.col(first[1]), F.col("__second") < F.col(second[1])]
-    return a.join(stairs, _all(on), "left_semi")
+def triangle(r: DataFrame, s: DataFrame, t: DataFrame, rs: Pairs, st: Pairs, tr: Pairs) -> DataFrame:
+    """r, s and t joined where rs, st and tr hold, each a list of pairs of equal columns; columns have different names.
+
+    Every row of r is extended through the one of s and t in which its key is rarer, and closed with the other. Over all rows
+    the smaller of two degrees adds up to no more than the root of the product of the three sizes, the worst-case-optimal
+    bound, however hot some keys are. Rows keep their number.
+    """
+    degree = lambda df, keys, n: df.groupBy(*(k.alias(f"{n}{i}") for i, k in enumerate(keys))).agg(F.count("*").alias(n))
+    in_s, in_t = degree(s, [y for _, y in rs], "ds"), degree(t, [x for x, _ in tr], "dt")
+    counted = inner(r, in_s, [(x, F.col(f"ds{i}")) for i, (x, _) in enumerate(rs)])
+    counted = inner(counted, in_t, [(y, F.col(f"dt{i}")) for i, (_, y) in enumerate(tr)])
+    kept = [*r.columns, *s.columns, *t.columns]
+    by_s = inner(inner(counted.where("ds <= dt"), s, rs), t, [*st, *tr]).select(*kept)
+    turned = [(y, x) for x, y in tr]
+    by_t = inner(inner(counted.where("ds > dt"), t, turned), s, [*((y, x) for x, y in st), *rs]).select(*kept)
+    return by_s.union(by_t)
 
 
 def band(a: DataFrame, b: DataFrame, keys: list[str], at: str, other: str, width: int, unit: str = "days") -> DataFrame:

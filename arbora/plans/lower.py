@@ -19,6 +19,16 @@ from .frontend import Condition, Core
 from .model import JoinTree, Relation
 
 
+TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _sides(c: Condition, low: frozenset[str], high: frozenset[str]) -> tuple | None:
+    """The comparison's (smaller, greater) side, if they lie in those relations."""
+    smaller, greater = (c.left, c.right) if c.comparison.op in ("<", "<=") else (c.right, c.left)
+    of = (c.comparison.left, c.comparison.right) if c.comparison.op in ("<", "<=") else (c.comparison.right, c.comparison.left)
+    return (smaller, greater) if of[0] <= low and of[1] <= high else None
+
+
 @dataclass
 class Part:
     """A node's rows so far. attributes: variable -> column names; names: the leaves whose columns it has;
@@ -30,6 +40,7 @@ class Part:
     carried: dict[int, str] = field(default_factory=dict)
     below: frozenset[str] = frozenset()  # leaves in the subtree so far
     auxiliary: bool = False  # a projection, which meets its own relation on columns that may be null
+    unique: frozenset[int] = frozenset()  # variables of which no two rows have the same values, as an aggregate made them
 
 
 class Lowering:
@@ -77,16 +88,19 @@ class Lowering:
 
     def node(self, relation: Relation) -> Part:
         if relation.kind == "auxiliary":
-            frame, attributes = self.leaf(relation.members[0].leaves()[0].name)
+            one = next((m for m in relation.leaves() if relation.variables <= m.variables), None)
+            part = self.node(relation.members[0]) if one is None else Part(*self.leaf(one.name), frozenset())
+            frame, attributes = part.frame, part.attributes
             kept = {v: names[0] for v, names in attributes.items() if v in relation.variables}
             frame = frame.select(*(F.col(n).alias(f"a{n}") for n in kept.values())).distinct()
-            return Part(frame, {v: [f"a{n}"] for v, n in kept.items()}, frozenset(), auxiliary=True)
+            return Part(frame, {v: [f"a{n}"] for v, n in kept.items()}, frozenset(), auxiliary=True, unique=frozenset(kept))
         names = [m.name for m in relation.leaves()]
-        part = None
+        made = {}
         for name in joins.connected_order([(m.name, m.variables) for m in relation.leaves()]):
             frame, attributes = self.leaf(name)
-            new = Part(frame, attributes, frozenset([name]), {}, frozenset([name]))
-            part = new if part is None else self.joined(part, new)
+            unique = frozenset(self.core.variable[i] for i in self.core.leaves[name].unique)
+            made[name] = Part(frame, attributes, frozenset([name]), {}, frozenset([name]), unique=unique)
+        part = self.triangle(list(made.values())) or reduce(self.joined, made.values())
         if len(names) > 1:
             part.frame = self._filtered(part.frame, [c for c in self.core.conditions if c.comparison.ends <= part.names])
         return part
@@ -96,8 +110,36 @@ class Lowering:
     def on(self, a: Part, b: Part) -> list[tuple[Column, Column]]:
         return [(F.col(a.attributes[v][0]), F.col(b.attributes[v][0])) for v in sorted(a.attributes.keys() & b.attributes.keys())]
 
+    def triangle(self, parts: list[Part]) -> Part | None:
+        """Three parts of which each two share variables that the third hasn't, joined in the worst-case-optimal bound."""
+        if len(parts) != 3:
+            return None
+        shared = [a.attributes.keys() & b.attributes.keys() for a, b in zip(parts, [*parts[1:], parts[0]], strict=True)]
+        if not all(shared) or any(x & y for x, y in zip(shared, [*shared[1:], shared[0]], strict=True)):
+            return None
+        r, s, t = parts
+        frame = joins.triangle(r.frame, s.frame, t.frame, self.on(r, s), self.on(s, t), self.on(t, r))
+        every = {v: [n for p in parts for n in p.attributes.get(v, [])] for p in parts for v in p.attributes}
+        return Part(frame, every, r.names | s.names | t.names, {}, r.below | s.below | t.below)
+
+    def band(self, a: Part, b: Part) -> tuple[Column, Column, object, bool, bool] | None:
+        """(low, at, width, whether in time, whether b is the low side) of two comparisons low <= at and at <= low + width between the parts."""
+        known = [c for c in self.core.conditions if c.comparison.op and c.comparison.ends <= a.names | b.names]
+        for x in known:
+            for y in known:
+                for turned, (p, q) in enumerate(((a, b), (b, a))):
+                    below, above = _sides(x, p.names, q.names), _sides(y, q.names, p.names)
+                    if below and above and below[1].semanticEquals(above[0]) and (width := self.core.bridge.step(below[0], above[1])):
+                        return self.column(below[0]), self.column(below[1]), *width, bool(turned)
+        return None
+
     def joined(self, a: Part, b: Part) -> Part:
-        frame = joins.inner(a.frame, b.frame, self.on(a, b))
+        on, band = self.on(a, b), self.band(a, b)
+        if band and on:
+            low, at, width, moment, turned = band
+            frame = joins.inner_band(b.frame, a.frame, [(y, x) for x, y in on], low, at, width, moment) if turned else joins.inner_band(a.frame, b.frame, on, low, at, width, moment)
+        else:
+            frame = joins.inner(a.frame, b.frame, on)
         both = {v: a.attributes.get(v, []) + b.attributes.get(v, []) for v in {**a.attributes, **b.attributes}}
         return Part(frame, both, a.names | b.names, {}, a.below | b.below)
 
@@ -141,10 +183,16 @@ class Lowering:
         subtree = child.below
         pending = [(c, s) for c in self.core.conditions if c.comparison.number not in self.exact and (s := self.side(c, child, subtree))]
         keys = self.on(parent, child)
-        out = Part(parent.frame, parent.attributes, parent.names, dict(parent.carried), parent.below | child.below, parent.auxiliary)
+        out = Part(parent.frame, parent.attributes, parent.names, dict(parent.carried), parent.below | child.below, parent.auxiliary, parent.unique)
         nulls = parent.auxiliary or child.auxiliary
         spanning = [c for c in self.core.conditions if c.comparison.number not in self.exact and c.comparison.ends & subtree and not c.comparison.ends <= subtree]
-        if pending and len(pending) == len(spanning) > 1 and all(self.far_side(c, parent, subtree) is not None for c, _ in pending):
+        unique = bool(child.unique) and child.unique <= parent.attributes.keys() & child.attributes.keys()
+        ends = len(pending) == len(spanning) > 1 and all(self.far_side(c, parent, subtree) is not None for c, _ in pending)
+        if ends and len(pending) == 2 and keys:
+            pair = [(s[0], c.comparison.op if c.comparison.left <= subtree else TURNED[c.comparison.op], self.far_side(c, parent, subtree)) for c, s in pending]
+            out.frame = joins.semi_two(parent.frame, child.frame, keys, *pair, nulls)
+            self.exact.update(c.comparison.number for c, _ in pending)
+        elif ends:
             extra = [self.compare(c, s[0], subtree, self.far_side(c, parent, subtree)) for c, s in pending]
             out.frame = joins.semi(parent.frame, child.frame, keys, extra, nulls)
             self.exact.update(c.comparison.number for c, _ in pending)
@@ -153,7 +201,7 @@ class Lowering:
             number = c.comparison.number
             self.made += 1
             name = f"x{self.made}"
-            frame = joins.extreme(parent.frame, child.frame, keys, value, least, name, nulls)
+            frame = joins.extreme(parent.frame, child.frame, keys, value, least, name, nulls, unique)
             far = self.far_side(c, parent, subtree)
             if far is None:
                 out.frame, out.carried[number] = frame, name
@@ -163,7 +211,7 @@ class Lowering:
                 if len(pending) == len(spanning) == 1:
                     self.exact.add(number)
         else:
-            out.frame = joins.semi(parent.frame, child.frame, keys, (), nulls)
+            out.frame = joins.semi(parent.frame, child.frame, keys, (), nulls, unique)
         if pending and len(spanning) > 1:
             self.blurred.update(c.comparison.number for c in spanning)
         return out

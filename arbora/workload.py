@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .engine import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber")}
+KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",)}
+#: Rows of the keyed tables and lineitem, relative to each other; lineitem has no key, as (l_orderkey, l_linenumber) repeats.
+CARDINALITIES = {"region": 5, "nation": 25, "supplier": 1_000, "customer": 15_000, "part": 20_000, "orders": 150_000, "lineitem": 600_000}
 
 FIXTURES = {
     "Graph": "SELECT DISTINCT CAST(o_custkey AS INT) AS src, CAST(o_custkey - o_custkey % 30 + o_orderkey % 30 AS INT) AS dst FROM orders WHERE o_orderstatus = 'F'",
@@ -214,7 +216,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine with the tables of a folder and the fixtures."""
     out = Engine(spark)
     for t in TABLES:
-        out.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"), KEYS.get(t, ()))
+        out.register(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"), KEYS.get(t, ()), CARDINALITIES.get(t, 0))
     for name, sql in FIXTURES.items():
         out.register(name, spark.sql(sql))
     return out
@@ -244,7 +246,7 @@ def staircase(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine(spark, sf_dir)
     a = spark.sql("SELECT src, dst, CAST((src + 5) * 10000 AS DOUBLE) AS most FROM Graph")
     b = spark.sql("SELECT src, dst AS low, rating FROM GraphRated")
-    return semi_two(a, b, ["src"], ("low", "dst"), ("rating", "most"))
+    return semi_two(a, b, [(a["src"], b["src"])], (b["low"], "<", a["dst"]), (b["rating"], "<", a["most"]))
 
 
 OPERATORS = {"op_triangles": triangles, "op_band_join": band, "op_staircase_semi": staircase}

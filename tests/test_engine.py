@@ -55,6 +55,11 @@ RANDOM = [
     "SELECT DISTINCT a.y FROM A a, B b WHERE a.y = b.x",
     "SELECT DISTINCT a.x FROM A a, B b, C c WHERE a.y = b.x AND a.y = c.y AND b.w < c.w",
     "SELECT COUNT(*) AS n FROM A a JOIN B b ON a.x = b.x JOIN C c ON b.y = c.y AND c.w > a.w",
+    "SELECT a.w, b.w AS bw FROM A a, B b WHERE a.x = b.x AND a.w <= b.w AND a.w + 3 >= b.w",
+    "SELECT a.w, b.w AS bw, c.y FROM A a, B b, C c WHERE a.x = b.x AND b.y = c.x AND b.w - 4 < a.w AND a.w < b.w",
+    "SELECT DISTINCT a.x, a.y FROM A a, (SELECT x, MIN(w) AS m FROM B GROUP BY x) b, (SELECT DISTINCT x FROM C) c WHERE a.y = b.x AND b.x = c.x AND b.m < a.w",
+    "SELECT DISTINCT b.y FROM A a, B b WHERE a.y = b.x AND a.w >= b.w AND a.x <= b.y",
+    "SELECT a.w, b.w AS bw, c.w AS cw FROM A a, B b, C c WHERE a.y = b.x AND b.y = c.x AND c.y = a.x",
 ]
 
 
@@ -75,12 +80,21 @@ def test_routes(small):
         small.sql(plain, strategy="nonsense")
 
 
-def test_size_decides(spark, small):
-    sql = "SELECT DISTINCT b.x FROM A a, B b, C c WHERE a.y = b.x AND b.y = c.x AND a.w < c.w"
-    names = lambda e: e.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
-    always, never = Engine(spark, small_bytes=0), Engine(spark, small_bytes=1 << 200)
-    assert "LeftSemi" in names(always) and "LeftSemi" not in names(never)
-    assert oracle.spark_rows(always.sql(sql)) == oracle.spark_rows(never.sql(sql))
+def test_costs_decide(spark):
+    e = Engine(spark)
+    hub = [(i, 0) for i in range(300)] + [(0, i) for i in range(300)] + [(i, i + 1) for i in range(300)]
+    e.register("Hub", spark.createDataFrame(hub, "src int, dst int"))
+    e.register("Path", spark.createDataFrame([(i, i + 1) for i in range(900)], "src int, dst int"))
+    plan = lambda sql: e.sql(sql)._jdf.queryExecution().optimizedPlan().toString()
+    for table, reduces in (("Hub", True), ("Path", False)):
+        sql = f"SELECT DISTINCT b.src FROM {table} a, {table} b, {table} c WHERE a.dst = b.src AND b.dst = c.src AND a.src < c.dst"
+        assert e.estimate(sql)["reduces"] == reduces and plan(sql).count("Aggregate") > 1 if reduces else plan(sql).count("Aggregate") == 1
+        assert oracle.spark_rows(e.sql(sql)) == oracle.spark_rows(e.sql(sql, strategy="sql"))
+    found = e.estimate("SELECT DISTINCT a.src FROM Hub a, Hub b WHERE a.dst = b.src")
+    out = {}
+    for s, _ in hub:
+        out[s] = out.get(s, 0) + 1
+    assert found["inputs"] == 1800 and found["full"] == 900 + sum(out.get(d, 0) for _, d in hub)
 
 
 def test_plan_as_data(small):
