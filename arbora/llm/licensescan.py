@@ -1,11 +1,11 @@
 """Licence scanning: a trained paragraph classifier whose predictions templates confirm, with DataFrame operations only.
 
-Training (on the driver, from the templates below) is a softmax regression over the presence of words and word pairs, with a class
-for paragraphs that are no licence; a temperature fitted on held-out paragraphs calibrates its probabilities, so that an
-unfamiliar paragraph falls to `unknown`. A family counts only if a template of its own shares enough n-grams with the
-paragraph. The main path is native: paragraphs that share enough with any template (no other can be confirmed) are reduced
-to distinct ones, their n-grams joined with the sparse weights, and the scores summed per class. Texts are looked through
-for key words first: without a template's key words, too few of its n-grams are left to confirm it.
+Training (on the driver, from the texts in `licences`) is a softmax regression over the presence of words and word pairs, with a
+class for paragraphs that grant nothing. A lasso penalty makes it sparse; a temperature fitted on held-out paragraphs calibrates its
+probabilities, so that an unfamiliar paragraph falls to `unknown`. A family counts only if one of its own templates (its
+names, and paragraphs of its text) shares CONFIRMED of its n-grams with the paragraph. The main path is native: texts are looked
+through for key words, without which too few n-grams of every template are left; paragraphs that have them are reduced to
+distinct ones, their n-grams joined with the sparse weights, and the scores summed per class.
 """
 
 from __future__ import annotations
@@ -19,166 +19,143 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import lookup
+from .licences import FOREIGN, GRANTS, HELD_GRANTS, HELD_MENTIONS, MENTIONS, NAMES, OTHERS, TEXTS
 from .scratch import materialise
 
 UNKNOWN = "unknown"
 CERTAIN = 0.5
-CONFIRMED = 0.5
+CONFIRMED = 0.8
 SPLIT = "[^a-z0-9]+"
 #: Between paragraphs: lines without a letter or digit.
 BLANK = r"\n[^\p{L}\p{N}]*\n"
-CUES = ("licen", "copyright", "redistribut", "public domain", "creative commons", "permission")
-
-#: Statements by which works name their licences, by family.
-TEMPLATES = {
-    "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "This project is distributed under the Apache License 2.0.",
-    ),
-    "mit": (
-        "Released under the MIT License.",
-        "This software is licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
-    ),
-    "gpl-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version.",
-        "Licensed under the GPL version 3.",
-    ),
-    "gpl-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it under the terms of version 2 of the GNU General Public License.",
-    ),
-    "lgpl-2.1": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "You can redistribute this library under the terms of the GNU Lesser General Public License.",
-    ),
-    "bsd-3-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Use of this source code is governed by a BSD-style license.",
-        "Released under the BSD 3-Clause License.",
-    ),
-    "mpl-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License 2.0.",
-    ),
-    "cc-by-nc-4.0": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    "cc-by-4.0": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "cc0-1.0": (
-        "To the extent possible under law, the author has waived all copyright and dedicated this work to the public domain under CC0 1.0.",
-        "Released into the public domain under CC0.",
-    ),
-}
-
-#: Paragraphs with cue words that name no licence.
-OTHERS = (
-    "She got her driving licence in the spring and drove to the coast.",
-    "Nobody may enter the building without permission from the office.",
-    "Copyright law has changed several times in the last century.",
-    "The council renewed the licence of the restaurant for two years.",
-    "All rights reserved. Copyright of the photographs stays with their owners.",
-    "The treaty redistributes the catch between the two countries.",
-    "The house stands on land in the public domain near the river.",
-    "A fishing license costs less for residents of the county.",
-    "He asked for permission to leave the table before the others.",
-    "Software vendors sell licenses by the seat or by the year.",
-    "The version of the story that was published is not the first.",
-    "They signed a license agreement with the publisher of the book.",
-)
 
 
 def words(text: str) -> list[str]:
-    return [w for w in re.split(SPLIT, text.lower()) if w]
+    """Lower-cased, and in one spelling of `license`."""
+    return [w for w in re.split(SPLIT, text.lower().replace("licence", "license")) if w]
 
 
-def grams(text: str) -> set[str]:
+def grams(text: str) -> frozenset[str]:
     w = words(text)
-    return {*w, *(f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True))}
+    return frozenset({*w, *(f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True))})
 
 
-#: Not taken as key words alone. Any choice gives the same results; these are found in many texts.
-COMMON = set("a 0 1 2 3 4 v nc met to of by in is or it any the and not are can may you all has use for with this that work person without into under either following free later law".split())
+def spdx(family: str) -> str:
+    return f"SPDX-License-Identifier: {family}"
 
 
-def needed(own: set[str]) -> int:
+@functools.cache
+def templates() -> dict[str, list[frozenset[str]]]:
+    """Family -> the n-grams of each of its names and texts."""
+    return {f: [grams(t) for t in (*names, spdx(f), *TEXTS.get(f, ()))] for f, names in NAMES.items()}
+
+
+def needed(own: frozenset[str]) -> int:
     """N-grams that confirm a template with these."""
     return math.ceil(CONFIRMED * len(own))
 
 
-def key_words() -> list[tuple[str, ...]]:
-    """Groups of strings. A lower-cased text that confirms a template holds all strings of some group.
+@functools.cache
+def key_words() -> tuple[tuple[str, ...], ...]:
+    """Groups of strings, the longest first in each. A lower-cased text that confirms a template holds all strings of some group.
 
-    Without the words of a template's one-word groups too few of its n-grams are left, or just enough for its other words to
-    be needed as well, which then are a group.
+    Words without any of which a template can't be confirmed are a group together. A template that can spare any one word
+    can't spare all of some words, each of which is a group.
     """
+    stem = lambda w: w[: w.index("licens") + 5] if "licens" in w else w  # noqa: E731  # in either spelling
     keys: set[tuple[str, ...]] = set()
-    for own in (grams(t) for v in TEMPLATES.values() for t in v):
-        words_ = {w for g in own for w in g.split()}
+    for own in sorted({o for v in templates().values() for o in v}, key=lambda o: (len(o), sorted(o))):
+        every = sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w))
         left = lambda gone: sum(not gone & set(g.split()) for g in own)  # noqa: E731, B023
+        single = [w for w in every if left({w}) < needed(own)]
+        if single:
+            keys.add(tuple(sorted({stem(w) for w in single}, key=lambda w: (-len(w), w))))
+            continue
         gone: set[str] = set()
-        for w in sorted(words_ - COMMON, key=lambda w: ((w,) not in keys, left({w}), w)):  # noqa: B023
+        for w in sorted(every, key=lambda w: ((stem(w),) not in keys, -len(w), w)):  # noqa: B023
             if left(gone) >= needed(own):
                 gone.add(w)
-        for w in sorted(gone):
+        for w in sorted(gone, key=lambda w: (len(w), w)):
             if left(gone - {w}) < needed(own):
                 gone.remove(w)
-        keys |= {(w,) for w in gone}
-        if left(gone) >= needed(own):
-            keys.add(tuple(sorted(w for w in words_ - gone if left(gone | {w}) < needed(own))))
-    return sorted(k for k in keys if not any(all(any(p in q for q in k) for p in o) for o in keys - {k}))
-
+        keys |= {(stem(w),) for w in gone}
+    return tuple(sorted(k for k in keys if not any(all(any(p in q for q in k) for p in o) for o in keys - {k})))
 
-def train(seed: int = 1, copies: int = 40) -> dict:
-    """Classes, n-grams, weights (n-grams and a last row of intercepts, classes) and the held-out accuracy.
 
-    Each template and other paragraph is varied `copies` times: words dropped, and foreign ones put around.
-    """
-    rng = np.random.default_rng(seed)
-    classes = [UNKNOWN, *TEMPLATES]
+def examples(rng: np.random.Generator) -> tuple[list, list]:
+    """(paragraphs, held-out paragraphs) as (n-grams, family). Held-out ones have sentences and wordings of their own."""
     filler = sorted({w for t in OTHERS for w in words(t)})
 
-    def vary(text: str) -> set[str]:
-        w = [x for x in words(text) if rng.random() > 0.08]
+    def vary(text: str, drop: float) -> frozenset[str]:
+        """With words dropped, and foreign ones around."""
+        w = [x for x in words(text) if rng.random() > drop]
         around = [str(x) for x in rng.choice(filler, int(rng.integers(0, 9)))]
         cut = int(rng.integers(0, len(around) + 1))
         return grams(" ".join(around[:cut] + w + around[cut:]))
 
-    rows, y = [], []
-    for k, name in enumerate(classes):
-        for t in TEMPLATES.get(name, OTHERS):
-            rows += [grams(t), *(vary(t) for _ in range(copies))]
-            y += [k] * (copies + 1)
-    for _ in range(20 * copies):  # licence words out of their order, and plain words
-        pool = [w for n in rng.choice(classes[1:], 3) for w in words(TEMPLATES[str(n)][0])] + filler
-        rows.append(grams(" ".join(str(x) for x in rng.choice(pool, int(rng.integers(3, 20))))))
-        y.append(0)
-    names = sorted(g for g, n in _counts(rows).items() if n >= 5)
+    shown, held = [], []
+    for family, names in NAMES.items():
+        for text in [g.format(n) for g in GRANTS for n in names] + [spdx(family)]:
+            shown += [(grams(text), family), (vary(text, 0.03), family)]
+        for text in TEXTS.get(family, ()):
+            shown += [(grams(text), family)] * 2 + [(vary(text, 0.08), family) for _ in range(8)]
+            held += [(vary(text, 0.12), family) for _ in range(2)]
+        held += [(vary(g.format(n), 0), family) for g in HELD_GRANTS for n in names] + [(vary(spdx(family), 0), family)]
+        shown += [(vary(m.format(n), 0.05), UNKNOWN) for m in MENTIONS for n in names]
+        shown += [(vary(f"{rng.choice(filler)} {rng.choice(filler)} {n} {rng.choice(filler)}", 0), UNKNOWN) for n in names for _ in range(5)]
+        held += [(vary(m.format(n), 0), UNKNOWN) for m in HELD_MENTIONS for n in names]
+    for k, name in enumerate(FOREIGN):
+        to = held if k % 4 == 0 else shown
+        to += [(vary(g.format(name), 0), UNKNOWN) for g in GRANTS for _ in range(2)]
+    for k in range(300):  # licences that nobody knows
+        name = f"{rng.choice(filler)} {rng.choice(('Public', 'Software', 'General Public', 'Source', 'Font', 'Documentation'))} License {rng.choice(('', '1.0', '1.1', '2', '2.0', 'version 3', '4.0'))}"
+        (held if k % 6 == 0 else shown).append((vary(str(rng.choice(GRANTS)).format(name), 0), UNKNOWN))
+    for text in OTHERS:
+        shown += [(grams(text), UNKNOWN), *((vary(text, 0.1), UNKNOWN) for _ in range(6))]
+        held.append((vary(text, 0.2), UNKNOWN))
+    pool = [w for names in NAMES.values() for w in words(names[0])] + filler
+    for k in range(400):  # the same words out of order
+        (held if k % 8 == 0 else shown).append((grams(" ".join(str(x) for x in rng.choice(pool, int(rng.integers(3, 20))))), UNKNOWN))
+    return shown, held
+
+
+def train(seed: int = 1) -> dict:
+    """Classes, n-grams, weights (n-grams and a last row of intercepts, classes), and the accuracy and confusions (right family,
+    found family, number) of what is confirmed on held-out paragraphs."""
+    classes = [UNKNOWN, *NAMES]
+    shown, held = examples(np.random.default_rng(seed))
+    count: dict[str, int] = {}
+    for own, _ in shown:
+        for g in own:
+            count[g] = count.get(g, 0) + 1
+    names = sorted(g for g, n in count.items() if n >= 4)
     at = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(rows), len(names) + 1))
-    x[:, -1] = 1
-    for i, r in enumerate(rows):
-        x[i, [at[g] for g in r if g in at]] = 1
-    target = np.eye(len(classes))[y]
-    held = rng.random(len(rows)) < 0.25
-    w = _softmax_fit(x[~held], target[~held])
-    heat = min(np.linspace(0.5, 4, 36), key=lambda t: -(target[held] * np.log(_softmax(x[held] @ w / t) + 1e-12)).sum())
-    right = (_softmax(x[held] @ w / heat).argmax(1) == np.array(y)[held]).mean()
-    return {"classes": classes, "grams": names, "weights": np.round(w / heat, 6), "accuracy": float(right)}
-
-
-def _counts(rows: list[set]) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for r in rows:
-        for g in r:
-            out[g] = out.get(g, 0) + 1
-    return out
+
+    def matrix(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        x = np.zeros((len(rows), len(names) + 1), np.float32)
+        x[:, -1] = 1
+        for i, (own, _) in enumerate(rows):
+            x[i, [at[g] for g in own if g in at]] = 1
+        return x, np.array([classes.index(f) for _, f in rows])
+
+    x, y = matrix(shown)
+    w = _softmax_fit(x, np.eye(len(classes), dtype=np.float32)[y])
+    x, y = matrix(held)
+    heat = min(np.linspace(0.5, 4, 36), key=lambda t: -np.log(_softmax(x @ w / t)[np.arange(len(y)), y] + 1e-12).sum())
+    p = _softmax(x @ w / heat)
+    best = np.array([k if confirmed(classes[k], own, q) else 0 for (own, _), k, q in zip(held, p.argmax(1).tolist(), p.max(1).tolist(), strict=True)])
+    wrong: dict[tuple[str, str], int] = {}
+    for a, b in zip(y[y != best].tolist(), best[y != best].tolist(), strict=True):
+        wrong[classes[a], classes[b]] = wrong.get((classes[a], classes[b]), 0) + 1
+    weights = np.round(w.astype(np.float64) / heat, 4)
+    some = (weights != 0).any(axis=1)
+    some[-1] = True
+    return {"classes": classes, "grams": [g for g, k in zip(names, some, strict=False) if k], "weights": weights[some], "accuracy": float((best == y).mean()), "confusions": sorted((a, b, n) for (a, b), n in wrong.items())}
+
+
+def confirmed(family: str, own: frozenset[str], probability: float) -> bool:
+    return family != UNKNOWN and probability >= CERTAIN and any(len(own & t) >= needed(t) for t in templates()[family])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -186,24 +163,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> np.ndarray:
-    """Adam on the penalised likelihood."""
-    w = np.zeros((x.shape[1], y.shape[1]))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        g = x.T @ (_softmax(x @ w) - y) / len(x) + ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 250, lasso: float = 1e-4) -> np.ndarray:
+    """Accelerated proximal gradient on the likelihood: after each step weights but the intercepts shrink by the lasso penalty, most
+    to zero. The step is the inverse of the gradient's Lipschitz constant, by power iteration."""
+    u = np.ones(x.shape[1], np.float32)
+    for _ in range(20):
+        u = x.T @ (x @ u)
+        size = np.linalg.norm(u)
+        u /= size
+    step = len(x) / (0.5 * size)
+    w = before = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    for t in range(steps):
+        ahead = w + t / (t + 3) * (w - before)
+        before, w = w, ahead - step * (x.T @ (_softmax(x @ ahead) - y) / len(x))
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - step * lasso, 0)
     return w
 
 
-_trained: dict = {}
-
-
+@functools.cache
 def model() -> dict:
-    if not _trained:
-        _trained.update(train())
-    return _trained
+    """Trained once a process."""
+    return train()
 
 
 def _rows(spark, rows: list, kind: str) -> DataFrame:
@@ -222,7 +202,7 @@ def gram_array(text):
         pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
         return F.array_distinct(F.concat(w, F.slice(pairs, 1, F.greatest(F.size(w) - 1, F.lit(0)))))
 
-    return _bound(F.filter(F.split(F.lower(text), SPLIT), lambda t: t != ""), both)
+    return _bound(F.filter(F.split(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), SPLIT), lambda t: t != ""), both)
 
 
 def _any(conditions: list):
@@ -230,16 +210,19 @@ def _any(conditions: list):
 
 
 def has_key(text):
-    """Whether a column has a key word; false only where nothing can be confirmed."""
-    return _bound(F.lower(text), lambda t: _any([functools.reduce(lambda a, b: a & b, [t.contains(w) for w in k]) for k in key_words()]))
+    """Whether a column has a key word; false only where nothing can be confirmed. Strings that start a group are looked for first."""
+    by_first: dict[str, list[tuple[str, ...]]] = {}
+    for first, *more in key_words():
+        by_first.setdefault(first, []).append(tuple(more))
 
+    def found(t):
+        out = []
+        for first, rests in by_first.items():
+            some = [functools.reduce(lambda a, b: a & b, [t.contains(w) for w in r]) for r in rests if r]
+            out.append(t.contains(first) & _any(some) if len(some) == len(rests) else t.contains(first))
+        return _any(out)
 
-def confirmable(text):
-    """Whether a column shares enough n-grams with any template."""
-    own = [grams(t) for v in TEMPLATES.values() for t in v]
-    listed = lambda g: F.split(F.lit("|".join(sorted(g))), "[|]")
-    shared = F.array_intersect(gram_array(text), listed(set().union(*own)))
-    return _bound(shared, lambda x: _any([F.size(F.array_intersect(x, listed(o))) >= needed(o) for o in own]))
+    return _bound(F.lower(text), found)
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
@@ -247,7 +230,7 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     spark, m = paragraphs.sparkSession, model()
     n = len(m["classes"])
     weights = _rows(spark, [{"gram": g, "w": m["weights"][i].tolist()} for i, g in enumerate(m["grams"])], "gram string, w array<double>")
-    templates = _rows(spark, [{"family": k, "own": sorted(grams(t))} for k, v in TEMPLATES.items() for t in v], "family string, own array<string>")
+    known = _rows(spark, [{"family": k, "own": sorted(o), "needed": needed(o)} for k, v in templates().items() for o in v], "family string, own array<string>, needed int")
     one = paragraphs.select("paragraph").distinct()
     held = one.select("paragraph", F.explode(gram_array(F.col("paragraph"))).alias("gram")).join(F.broadcast(weights), "gram")  # some thousand n-grams
     start = m["weights"][-1].tolist()
@@ -258,8 +241,8 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("best")))
     top = top.select("paragraph", F.get(named, F.array_position("z", F.col("best")).cast("int") - 1).alias("family"), F.round(1 / total, 6).alias("probability"))
     likely = top.where((F.col("family") != UNKNOWN) & (F.col("probability") >= CERTAIN))
-    share = F.size(F.array_intersect(gram_array(F.col("paragraph")), "own")) / F.size("own")
-    confirmed = likely.join(F.broadcast(templates), "family").where(share >= CONFIRMED)
+    shared = F.size(F.array_intersect(gram_array(F.col("paragraph")), "own"))
+    confirmed = likely.join(F.broadcast(known), "family").where(shared >= F.col("needed"))  # a hundred templates
     return confirmed.select("paragraph", "family", "probability").distinct()
 
 
@@ -268,17 +251,20 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     Paragraphs are what blank lines (or lines without a letter or digit) separate, so that wrapped lines are one, and single
     lines. A paragraph of several lines isn't counted where one of its lines names the same family. Null and empty
-    texts have none. Rows that repeat a doc_id are one document; null ids are one, too. An empty table gives no rows.
+    texts have none. Rows that repeat a doc_id are one document; null ids are one, too. A text of any length is read whole;
+    paragraphs have no greatest length. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     own = docs.select("doc_id", F.col(text).alias("text"))
     some = own.where(has_key(F.col("text")))
     several = F.filter(F.split("text", BLANK), lambda b: b.contains("\n"))
     parts = some.select("doc_id", F.explode(F.concat(F.split("text", "\n"), several)).alias("paragraph"))
-    parts = materialise(parts.where(has_key(F.col("paragraph"))).where(confirmable(F.col("paragraph"))))
+    parts = materialise(parts.where(has_key(F.col("paragraph"))))
     named = materialise(classify(parts))
     wrapped = named.where(F.col("paragraph").contains("\n")).select("paragraph", "family", F.explode(F.split("paragraph", "\n")).alias("line"))
     again = wrapped.join(named.select(F.col("paragraph").alias("line"), "family"), ["line", "family"]).select("paragraph", "family").distinct()
-    found = parts.join(named.join(again, ["paragraph", "family"], "left_anti"), "paragraph").groupBy("doc_id").agg(
+    counted = named.join(again, ["paragraph", "family"], "left_anti")
+    # a licence's lines repeat in very many documents: those rows stay where they are
+    found = lookup(parts, "paragraph", counted).where("family IS NOT NULL").groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"), F.min("probability").alias("least_probability")
     )
     ids = own.select(F.col("doc_id").alias("id")).distinct()
