@@ -71,6 +71,25 @@ def extreme(a: DataFrame, b: DataFrame, on: Pairs, value: Column, least: bool, n
     return joined.select(*a.columns, name)
 
 
+def best_below(a: DataFrame, b: DataFrame, on: Pairs, value: Column, name: str) -> DataFrame:
+    """Rows of a with a partner in b, with the greatest value among the partners; null if they have none."""
+    best = F.max(value).alias(name)
+    small = b.groupBy(*(y for _, y in on)).agg(best) if on else b.agg(best, F.count("*").alias("partners")).where("partners > 0")
+    return inner(a, small, on).select(*a.columns, name)
+
+
+def at_least_kth(a: DataFrame, bound: Column, k: int) -> DataFrame:
+    """Rows of a whose bound is no smaller than the k-th greatest (but for rounding), with that as column `kth`; it's null, and all
+    rows stay, where fewer than k bounds are known."""
+    greatest = a.select(bound.alias("bound")).orderBy(F.col("bound").desc_nulls_last()).limit(k)
+    kth = greatest.agg(F.when(F.count("bound") == k, F.min("bound")).alias("kth"))  # one row
+    return above_kth(a.crossJoin(F.broadcast(kth)), bound)
+
+
+def above_kth(a: DataFrame, bound: Column) -> DataFrame:
+    return a.where(F.col("kth").isNull() | (bound >= F.col("kth") - F.abs("kth") * 1e-9))
+
+
 def staircase(b: DataFrame, keys: list[Column], first: tuple[Column, bool], second: tuple[Column, bool]) -> DataFrame:
     """Columns k0.., first, second: per key the pairs of values that no other pair beats in both. (value, whether smaller is better)
 

@@ -50,6 +50,8 @@ class Lowering:
         self.parts: dict[Relation, Part] = {}
         self.blurred: set[int] = set()  # comparisons that shared an edge, so that one extreme each can't settle them together
         self.made = 0
+        self.top = None if core.distinct else core.top()
+        self.bests: dict[Relation, str] = {}  # node -> its parent's column with the best sum of terms below
 
     # -- leaves
 
@@ -178,6 +180,18 @@ class Lowering:
             return self.column(expression)
         return F.col(part.carried[c.number]) if names <= part.below and c.number in part.carried else None
 
+    def worth(self, node: Relation, part: Part, below: list[Relation]) -> Column:
+        """The greatest sum of terms that a row of a node can reach: its own, and the best of these children."""
+        terms = [self.column(e).cast("double") for e, name in self.top[0] if name in part.names]
+        return reduce(lambda x, y: x + y, [*terms, *(F.col(self.bests[c]) for c in below)], F.lit(0.0))
+
+    def fold_best(self, p: Relation, c: Relation) -> Part:
+        """p's part, with the best sum of terms below the edge to c, and without rows that nothing there fits."""
+        parent, child = self.parts[p], self.parts[c]
+        self.bests[c] = f"best{len(self.bests)}"
+        frame = joins.best_below(parent.frame, child.frame, self.on(parent, child), self.worth(c, child, self.tree.children(c)), self.bests[c])
+        return Part(frame, parent.attributes, parent.names, {}, parent.below | child.below, parent.auxiliary, parent.unique)
+
     def fold(self, parent: Part, child: Part) -> Part:
         """parent, without rows that no row below the edge fits."""
         subtree = child.below
@@ -219,7 +233,7 @@ class Lowering:
     def reduce(self) -> None:
         self.parts = {n: self.node(n) for n in self.tree.nodes}
         for p, c in reversed(self.tree.edges):
-            self.parts[p] = self.fold(self.parts[p], self.parts[c])
+            self.parts[p] = self.fold_best(p, c) if self.top else self.fold(self.parts[p], self.parts[c])
 
     def settled(self) -> bool:
         """Whether reduction has applied every comparison that enumeration of the connex part can't apply again."""
@@ -231,7 +245,12 @@ class Lowering:
     def enumerate(self) -> DataFrame:
         order = [n for n in self.tree.nodes if n in self.tree.connex]
         part, done = self.parts[order[0]], set()
-        for n in [*order[1:], None]:
+        if self.top:  # a root row reaches its bound, so answers below the k-th bound aren't wanted
+            part.frame = joins.at_least_kth(part.frame, self.worth(order[0], part, self.tree.children(order[0])), self.top[1])
+        for k, n in enumerate([*order[1:], None]):
+            if self.top and k:
+                here = set(order[: k + 1])
+                part.frame = joins.above_kth(part.frame, self.worth(order[k], part, [c for p, c in self.tree.edges if p in here and c not in here]))
             ready = [c for c in self.core.conditions if c.comparison.ends <= part.names and c.comparison.number not in done]
             done.update(c.comparison.number for c in ready)
             part.frame = self._filtered(part.frame, ready)

@@ -33,7 +33,7 @@ def scan(spark: SparkSession, table: Table, folder: str | None = None) -> DataFr
 
 
 def formatted(df: DataFrame) -> DataFrame:
-    """Every column as text; timestamps to the millisecond where they have a fraction."""
+    """Every column as text; timestamps to the millisecond, always with three digits of it."""
 
     def text(f: T.StructField):
         if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):

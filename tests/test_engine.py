@@ -50,6 +50,9 @@ RANDOM = [
     "SELECT DISTINCT a.y FROM A a, B b WHERE a.x = b.x AND a.y = b.x",
     "SELECT DISTINCT a.w FROM A a, B b, C c WHERE a.x = b.x AND a.x = c.x AND (a.w = 3 OR b.w = 4) AND c.w IS NOT NULL",
     "SELECT a.w + b.w AS t, a.x FROM A a, B b WHERE a.y = b.x ORDER BY t DESC, a.x, b.y LIMIT 7",
+    "SELECT a.w + b.w + c.w AS t, a.x, b.x AS bx, c.x AS cx FROM A a, B b, C c WHERE a.y = b.x AND b.y = c.x ORDER BY t DESC, a.x, bx, cx LIMIT 5",
+    "SELECT a.w, b.w AS bw FROM A a, B b WHERE a.x = b.x AND a.x > 100 ORDER BY bw DESC LIMIT 5",
+    "SELECT a.w + NULLIF(b.w, 3) AS t, a.x FROM A a, B b WHERE a.x = b.x AND b.w BETWEEN 3 AND 4 ORDER BY t DESC, a.x LIMIT 500",
     "SELECT DISTINCT b.w FROM A a, B b, C c, D d WHERE a.y = b.x AND c.y = b.x AND d.y = b.y AND a.w < c.w AND c.w < d.w",
     "SELECT DISTINCT a.x FROM A a, B b WHERE a.w < b.w AND a.x > 3",
     "SELECT DISTINCT a.y FROM A a, B b WHERE a.y = b.x",
