@@ -85,6 +85,7 @@ def test_routes(small):
 
 def test_costs_decide(spark):
     e = Engine(spark)
+    e.costs.stages = 0
     hub = [(i, 0) for i in range(300)] + [(0, i) for i in range(300)] + [(i, i + 1) for i in range(300)]
     e.register("Hub", spark.createDataFrame(hub, "src int, dst int"))
     e.register("Path", spark.createDataFrame([(i, i + 1) for i in range(900)], "src int, dst int"))
