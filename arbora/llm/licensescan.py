@@ -58,28 +58,35 @@ def needed(own: frozenset[str]) -> int:
 
 @functools.cache
 def key_words() -> tuple[tuple[str, ...], ...]:
-    """Groups of strings, the longest first in each. A lower-cased text that confirms a template holds all strings of some group.
+    """Groups of words, the longest first in each. A text that confirms a template has all words of some group.
 
     Words without any of which a template can't be confirmed are a group together. A template that can spare any one word
     can't spare all of some words, each of which is a group.
     """
-    stem = lambda w: w[: w.index("licens") + 5] if "licens" in w else w  # noqa: E731  # in either spelling
     keys: set[tuple[str, ...]] = set()
     for own in sorted({o for v in templates().values() for o in v}, key=lambda o: (len(o), sorted(o))):
         every = sorted({w for g in own for w in g.split()}, key=lambda w: (-len(w), w))
         left = lambda gone: sum(not gone & set(g.split()) for g in own)  # noqa: E731, B023
         single = [w for w in every if left({w}) < needed(own)]
         if single:
-            keys.add(tuple(sorted({stem(w) for w in single}, key=lambda w: (-len(w), w))))
+            keys.add(tuple(single))
             continue
         gone: set[str] = set()
-        for w in sorted(every, key=lambda w: ((stem(w),) not in keys, -len(w), w)):  # noqa: B023
+        for w in sorted(every, key=lambda w: ((w,) not in keys, -len(w), w)):  # noqa: B023
             if left(gone) >= needed(own):
                 gone.add(w)
         for w in sorted(gone, key=lambda w: (len(w), w)):
             if left(gone - {w}) < needed(own):
                 gone.remove(w)
-        keys |= {(stem(w),) for w in gone}
+        keys |= {(w,) for w in gone}
+    return tuple(sorted(k for k in keys if not any({*o} <= {*k} for o in keys - {k})))
+
+
+@functools.cache
+def key_strings() -> tuple[tuple[str, ...], ...]:
+    """The same as strings within lower-cased text, in either spelling of `license`: a first, cheap look."""
+    stem = lambda w: w[: w.index("licens") + 5] if "licens" in w else w
+    keys = {tuple(sorted({stem(w) for w in k}, key=lambda w: (-len(w), w))) for k in key_words()}
     return tuple(sorted(k for k in keys if not any(all(any(p in q for q in k) for p in o) for o in keys - {k})))
 
 
@@ -209,10 +216,10 @@ def _any(conditions: list):
     return functools.reduce(lambda a, b: a | b, conditions)
 
 
-def has_key(text):
-    """Whether a column has a key word; false only where nothing can be confirmed. Strings that start a group are looked for first."""
+def _has_group(text, groups):
+    """Whether text contains all strings of some group. Strings that start a group are looked for first."""
     by_first: dict[str, list[tuple[str, ...]]] = {}
-    for first, *more in key_words():
+    for first, *more in groups:
         by_first.setdefault(first, []).append(tuple(more))
 
     def found(t):
@@ -222,28 +229,43 @@ def has_key(text):
             out.append(t.contains(first) & _any(some) if len(some) == len(rests) else t.contains(first))
         return _any(out)
 
-    return _bound(F.lower(text), found)
+    return _bound(text, found)
+
+
+def has_key(text):
+    """Whether a column has a key string; false only where nothing can be confirmed."""
+    return _has_group(F.lower(text), key_strings())
+
+
+def has_key_words(text):
+    """Whether a column has a group of key words, as words; false only where nothing can be confirmed."""
+    spelled = F.regexp_replace(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), SPLIT, " ")
+    return _has_group(F.concat(F.lit(" "), spelled, F.lit(" ")), [tuple(f" {w} " for w in k) for k in key_words()])
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """paragraph, family and probability of each distinct value of the column `paragraph` that has a confirmed family."""
+    """id, paragraph, family and probability of each distinct row of (id, paragraph) that has a confirmed family.
+
+    Only ids travel with the n-grams, so a paragraph of megabytes isn't copied for each of its own.
+    """
     spark, m = paragraphs.sparkSession, model()
     n = len(m["classes"])
     weights = _rows(spark, [{"gram": g, "w": m["weights"][i].tolist()} for i, g in enumerate(m["grams"])], "gram string, w array<double>")
     known = _rows(spark, [{"family": k, "own": sorted(o), "needed": needed(o)} for k, v in templates().items() for o in v], "family string, own array<string>, needed int")
-    one = paragraphs.select("paragraph").distinct()
-    held = one.select("paragraph", F.explode(gram_array(F.col("paragraph"))).alias("gram")).join(F.broadcast(weights), "gram")  # some thousand n-grams
+    one = materialise(paragraphs.dropDuplicates(["id"]))
+    held = one.select("id", F.explode(gram_array(F.col("paragraph"))).alias("gram")).join(F.broadcast(weights), "gram")  # some thousand n-grams
     start = m["weights"][-1].tolist()
-    scored = held.groupBy("paragraph").agg(*(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
+    scored = held.groupBy("id").agg(*(F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(n)))
     scores = F.array(*(F.round(F.col(f"s{k}") + start[k], 6) for k in range(n)))
     named = F.array(*(F.lit(c) for c in m["classes"]))
-    top = scored.select("paragraph", scores.alias("z")).withColumn("best", F.array_max("z"))
+    top = scored.select("id", scores.alias("z")).withColumn("best", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("best")))
-    top = top.select("paragraph", F.get(named, F.array_position("z", F.col("best")).cast("int") - 1).alias("family"), F.round(1 / total, 6).alias("probability"))
-    likely = top.where((F.col("family") != UNKNOWN) & (F.col("probability") >= CERTAIN))
-    shared = F.size(F.array_intersect(gram_array(F.col("paragraph")), "own"))
-    confirmed = likely.join(F.broadcast(known), "family").where(shared >= F.col("needed"))  # a hundred templates
-    return confirmed.select("paragraph", "family", "probability").distinct()
+    top = top.select("id", F.get(named, F.array_position("z", F.col("best")).cast("int") - 1).alias("family"), F.round(1 / total, 6).alias("probability"))
+    likely = one.join(top.where((F.col("family") != UNKNOWN) & (F.col("probability") >= CERTAIN)), "id")
+    # one set of n-grams a paragraph, against all templates of its family
+    own = known.groupBy("family").agg(F.collect_list(F.struct("own", "needed")).alias("templates"))
+    fits = _bound(gram_array(F.col("paragraph")), lambda g: F.exists("templates", lambda t: F.size(F.array_intersect(t["own"], g)) >= t["needed"]))
+    return likely.join(F.broadcast(own), "family").where(fits).select("id", "paragraph", "family", "probability")
 
 
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -258,13 +280,14 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     some = own.where(has_key(F.col("text")))
     several = F.filter(F.split("text", BLANK), lambda b: b.contains("\n"))
     parts = some.select("doc_id", F.explode(F.concat(F.split("text", "\n"), several)).alias("paragraph"))
-    parts = materialise(parts.where(has_key(F.col("paragraph"))))
-    named = materialise(classify(parts))
-    wrapped = named.where(F.col("paragraph").contains("\n")).select("paragraph", "family", F.explode(F.split("paragraph", "\n")).alias("line"))
-    again = wrapped.join(named.select(F.col("paragraph").alias("line"), "family"), ["line", "family"]).select("paragraph", "family").distinct()
-    counted = named.join(again, ["paragraph", "family"], "left_anti")
+    parts = parts.where(has_key(F.col("paragraph"))).where(has_key_words(F.col("paragraph")))
+    parts = materialise(parts.withColumn("id", F.md5("paragraph")))
+    named = materialise(classify(parts.select("id", "paragraph")))
+    lines = named.where(F.col("paragraph").contains("\n")).select("id", "family", F.explode(F.split("paragraph", "\n")).alias("line"))
+    again = lines.select("id", "family", F.md5("line").alias("line")).join(named.select(F.col("id").alias("line"), "family"), ["line", "family"]).select("id").distinct()
+    counted = named.select("id", "family", "probability").join(again, "id", "left_anti")
     # a licence's lines repeat in very many documents: those rows stay where they are
-    found = lookup(parts, "paragraph", counted).where("family IS NOT NULL").groupBy("doc_id").agg(
+    found = lookup(parts.select("doc_id", "id"), "id", counted).where("family IS NOT NULL").groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"), F.min("probability").alias("least_probability")
     )
     ids = own.select(F.col("doc_id").alias("id")).distinct()
