@@ -30,4 +30,20 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, both_ways.y F
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)"""
 
-SQL = {"op4_decontaminate": DECONTAMINATE, "op6_minhash_neardup": NEAR_DUPLICATES}
+#: Bytes as hexadecimal digits, two each; texts in parts, as a place in a string is found by counting.
+SUFFIX_DEDUP = """WITH
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT doc_id, 500 * j AS base, substr(h, 1000 * j + 1, 1098) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 1000 + 1)) AS j FROM d)),
+w AS (SELECT doc_id, base + k AS k, substr(part, 2 * k + 1, 100) AS g FROM (SELECT doc_id, base, part, unnest(range(0, least(500, length(part) // 2 - 49))) AS k FROM parts)),
+f AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, k FROM w JOIN f USING (g) WHERE least < doc_id),
+marked AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS starts FROM hits),
+runs AS (SELECT doc_id, k, sum(starts) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM marked),
+spans AS (SELECT doc_id, min(k) AS s, max(k) + 50 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS kept
+    FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+SQL = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_decontaminate": DECONTAMINATE, "op6_minhash_neardup": NEAR_DUPLICATES}

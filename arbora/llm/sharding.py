@@ -19,22 +19,22 @@ LEVELS = 1 << BITS
 SHARDS = 24
 
 
-def curve(spark, dimensions: int) -> DataFrame:
-    """(cell, curve) for all cells; a cell's number has BITS bits for each dimension, the first one lowest.
+def with_curve(df: DataFrame, axes: list[str]) -> DataFrame:
+    """df with `curve`, the index on the Hilbert curve of the cell that the axes' levels make, worked out row by row.
 
-    Skilling's transform: undo the excess work bit by bit, Gray-encode, then interleave the axes' bits.
+    Skilling's transform: undo the excess work bit by bit, Gray-encode, then interleave the axes' bits. BITS times the number of
+    axes can be 62 at most.
     """
-    n, top = dimensions, LEVELS >> 1
-    axes = "array(" + ", ".join(f"int(shiftright(id, {BITS * k}) & {LEVELS - 1})" for k in range(n)) + ")"
+    n, top = len(axes), LEVELS >> 1
+    start = "array(" + ", ".join(f"int({a})" for a in axes) + ")"
     steps = "array(" + ", ".join(f"struct({q} AS q, {i} AS i)" for q in (top >> s for s in range(BITS - 1)) for i in range(n)) + ")"
-    turned = f"""aggregate({steps}, {axes}, (x, s) -> if((x[s.i] & s.q) <> 0,
+    turned = f"""aggregate({steps}, {start}, (x, s) -> if((x[s.i] & s.q) <> 0,
         transform(x, (v, k) -> if(k = 0, v ^ (s.q - 1), v)),
         transform(x, (v, k) -> if(k = 0 OR k = s.i, v ^ if(s.i = 0, 0, (x[0] ^ x[s.i]) & (s.q - 1)), v))))"""
-    gray = f"transform(sequence(0, {n - 1}), k -> aggregate(slice(x, 1, k + 1), 0, (a, v) -> a ^ v))"
-    flip = " ^ ".join(f"if((g[{n - 1}] & {top >> s}) <> 0, {(top >> s) - 1}, 0)" for s in range(BITS - 1))
-    index = " + ".join(f"bigint(shiftright(f[{k}], {b}) & 1) * {1 << (b * n + n - 1 - k)}" for b in range(BITS) for k in range(n))
-    cells = spark.range(0, 1 << (BITS * n), 1, 4).selectExpr("id AS cell", f"{turned} AS x").selectExpr("cell", f"{gray} AS g")
-    return cells.selectExpr("cell", f"transform(g, v -> v ^ ({flip})) AS f").selectExpr("cell", f"{index} AS curve")
+    gray = f"transform(sequence(0, {n - 1}), k -> aggregate(slice(h, 1, k + 1), 0, (a, v) -> a ^ v))"
+    flip = " ^ ".join(f"if((h[{n - 1}] & {top >> s}) <> 0, {(top >> s) - 1}, 0)" for s in range(BITS - 1))
+    index = " + ".join(f"bigint(shiftright(h[{k}], {b}) & 1) * {1 << (b * n + n - 1 - k)}" for b in range(BITS) for k in range(n))
+    return df.withColumn("h", F.expr(turned)).withColumn("h", F.expr(gray)).withColumn("h", F.expr(f"transform(h, v -> v ^ ({flip}))")).withColumn("curve", F.expr(index)).drop("h")
 
 
 def level(value: Column, low: Column, high: Column) -> Column:
@@ -52,7 +52,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, *, names: tuple[str, .
 
     Dimensions: the id's place between the least and greatest id, the size's magnitude, and the named columns that exist.
     The shards' row counts differ by one at most. A null text has size 8 and the checksum of no bytes; null metadata is a
-    level like any other. Repeated rows are rows. An empty table gives no rows.
+    level like any other. Repeated rows are rows, and a text of any length is one. Columns of docs that have the results' names are
+    not read, but for the named ones. An empty table gives no rows.
     """
     names = [c for c in names if c in docs.columns]
     bounds = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -62,9 +63,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, *, names: tuple[str, .
     levels = {"id_level": level(F.col("doc_id"), low, high), "size_level": level(F.log2(size.cast("double")), F.lit(3.0), F.lit(27.0))}
     levels |= {f"{c}_level": name_level(F.col(c)) for c in names}
     rows = docs.select("doc_id", size.alias("size"), text_crc32.alias("text_crc32"), *(v.alias(k) for k, v in levels.items()))
-    cell = sum((F.col(k).cast("long") * (LEVELS**i) for i, k in enumerate(levels)), F.lit(0).cast("long"))
-    index = curve(docs.sparkSession, len(levels))  # 65,536 cells at four dimensions, whatever the input
-    keyed = rows.withColumn("cell", cell).join(F.broadcast(index), "cell").drop("cell")
+    keyed = with_curve(rows, list(levels))
     key = ["curve", "text_crc32", "doc_id", "size"]
     ordered = keyed.repartitionByRange(*key).sortWithinPartitions(*key)
     place = F.monotonically_increasing_id()
@@ -79,11 +78,13 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, *, names: tuple[str, .
     return ranked.withColumn("slot", F.col("rank") - first).drop("part", "place", "offset", "rank")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, **options) -> None:
-    """docs as Parquet, a folder for each shard; docs need a unique doc_id."""
-    placed = hilbert_shards(docs, shards, **options).select(F.col("doc_id").alias("placed_id"), "shard")
-    rows = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("placed_id"))).drop("placed_id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, *, file_rows: int = 1_000_000, **options) -> None:
+    """docs as Parquet, a folder for each shard and in it a file for each run of `file_rows` along the curve; docs need a unique
+    doc_id. Files are narrow in every dimension, however many rows a shard has."""
+    placed = hilbert_shards(docs, shards, **options).select(F.col("doc_id").alias("placed_id"), F.col("shard").alias("placed_shard"), F.col("slot").alias("placed_slot"))
+    rows = docs.drop("shard").join(placed, F.col("doc_id").eqNullSafe(F.col("placed_id"))).drop("placed_id").withColumnRenamed("placed_shard", "shard")
+    rows = rows.withColumn("placed_run", F.expr(f"placed_slot DIV {file_rows}")).repartition("shard", "placed_run").sortWithinPartitions("shard", "placed_slot")
+    rows.drop("placed_slot", "placed_run").write.partitionBy("shard").option("maxRecordsPerFile", file_rows).parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """URL filter, licence scan, toxicity, sharding, the pipeline, and how it all hangs together."""
 
+import os
 import random
 import re
 import subprocess
@@ -118,17 +119,48 @@ def test_licence_cases(spark):
 
 
 def test_key_words_exclude_nothing_confirmable():
-    keys, rng = licensescan.key_words(), random.Random(5)
+    keys, strings, rng = licensescan.key_words(), licensescan.key_strings(), random.Random(5)
     for t in (t for f in NAMES for t in [*NAMES[f], licensescan.spdx(f), *TEXTS.get(f, ())]):
         own = licensescan.grams(t)
         for _ in range(300):
             text = " ".join(w for w in licensescan.words(t) if rng.random() < 0.9)
-            assert len(own & licensescan.grams(text)) < licensescan.needed(own) or any(all(w in text for w in k) for k in keys)
-    assert not any(all(w in "she drove to the coast and came by again" for w in k) for k in keys)
+            short = len(own & licensescan.grams(text)) < licensescan.needed(own)
+            assert short or any({*k} <= {*text.split()} for k in keys) and all(any(all(w in t for w in k) for k in strings) for t in (text, text.replace("license", "licence")))
+    assert not any(all(w in "she drove to the coast and came by again" for w in k) for k in strings)
+
+
+def test_toxicity_scores_by_hand(spark, docs, rows, sf_dir):
+    """Probabilities recomputed word by word from the chain's coefficients."""
+    from arbora.llm import arrays
+
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chain = toxicity.fit(real, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    number = lambda w: int(arrays.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), arrays.ALNUM).hash[0])
+    found = toxicity.score(docs.withColumn("flagged", docs.text), chain).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        own, odds = {number(w) for w in brute.ALNUM.findall((r.text or "").translate(brute.LOWER))}, []
+        for link in chain.links:
+            n = len(link.words)
+            z = sum(c for w, c in zip(link.words.tolist(), link.coefficients[:n], strict=True) if w in own) + sum(a * b for a, b in zip(odds, link.coefficients[n:-1], strict=True)) + link.coefficients[-1]
+            odds.append(min(30, max(-30, z)))
+        p = [1 / (1 + np.exp(-z)) for z in odds]
+        assert np.allclose([r.p_quality, r.p_toxic], p) and r.flagged == bool(own and p[-1] >= chain.threshold)
+
+
+def test_conflicting_labels_have_a_rule(spark, real):
+    ids = [r.doc_id for r in real.select("doc_id").limit(60).collect()]
+    labels = [(i, 1, k % 2) for k, i in enumerate(ids)]
+    a = toxicity.fit(real, spark.createDataFrame(labels + [(ids[0], 0, 1)], "doc_id long, quality int, toxic int"))
+    b = toxicity.fit(real, spark.createDataFrame([(ids[0], 0, 1), *labels][::-1], "doc_id long, quality int, toxic int"))
+    c = toxicity.fit(real, spark.createDataFrame([(ids[0], 1, 1), *labels[1:]], "doc_id long, quality int, toxic int"))
+    assert all(np.array_equal(x.coefficients, y.coefficients) and np.array_equal(x.coefficients, z.coefficients) for x, y, z in zip(a.links, b.links, c.links, strict=True))
 
 
 def test_toxicity_on_held_out_rows(spark):
     base = "/root/testdata/sf0.1"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     chain = toxicity.fit(docs, labels.where("doc_id % 4 <> 0"), sample=1000)
     held = toxicity.score(docs.where("doc_id % 4 = 0").select("doc_id", "text"), chain).join(labels, "doc_id").select("toxic", "flagged").toPandas()
@@ -169,9 +201,10 @@ def test_chain_uses_earlier_categories():
 
 def test_hilbert_curve_is_continuous(spark):
     for n in (2, 3):
-        cells = [r.cell for r in sharding.curve(spark, n).orderBy("curve").collect()]
-        assert sorted(cells) == list(range(16**n))
-        assert all(sum(abs((a >> 4 * k & 15) - (b >> 4 * k & 15)) for k in range(n)) == 1 for a, b in zip(cells, cells[1:], strict=False))
+        cells = spark.range(16**n).selectExpr("id", *(f"shiftright(id, {4 * k}) & 15 AS a{k}" for k in range(n)))
+        found = [r.id for r in sharding.with_curve(cells, [f"a{k}" for k in range(n)]).orderBy("curve").collect()]
+        assert sorted(found) == list(range(16**n))
+        assert all(sum(abs((a >> 4 * k & 15) - (b >> 4 * k & 15)) for k in range(n)) == 1 for a, b in zip(found, found[1:], strict=False))
 
 
 def test_shards(spark, docs, rows, empty, sf_dir, real_rows):
@@ -188,12 +221,32 @@ def test_shards(spark, docs, rows, empty, sf_dir, real_rows):
     assert len(many) == len(real_rows) and {r.law for r in many} == {"rows"} and all(r.grown_shard is None for r in many)
 
 
-def test_shards_prune(spark, real):
-    """A shard spans less of each dimension than the table."""
-    found = sharding.hilbert_shards(real, 8).toPandas()
-    for c in ("id_level", "size_level"):
-        spread = found.groupby("shard")[c].agg(lambda x: x.max() - x.min()).mean()
-        assert spread <= found[c].max() - found[c].min()
+def test_shards_follow_the_curve(spark, real, real_rows):
+    """Levels, order, shards and slots, by hand; the curve's own order is tested above."""
+    found = sharding.hilbert_shards(real.withColumn("shard", real.doc_id).withColumn("size", real.doc_id), 7).toPandas()
+    meta = {r.doc_id: (r.text, r.lang, r.source) for r in real.select("doc_id", "text", "lang", "source").collect()}
+    low, high = min(meta), max(meta)
+    names = lambda v: zlib.crc32((v or "").encode()) % 16
+    for r in found.itertuples():
+        text, lang, source = meta[r.doc_id]
+        assert r.id_level == min(15, int((r.doc_id - low) / (high - low) * 16)) and (r.lang_level, r.source_level) == (names(lang), names(source))
+        assert r.size_level == min(15, max(0, int((np.log2(len((text or "").encode()) + 8) - 3) / 24 * 16)))
+    ordered = found.sort_values(["curve", "text_crc32", "doc_id"])
+    n = len(ordered)
+    assert [r.shard for r in ordered.itertuples()] == [k * 7 // n for k in range(n)]
+    assert [r.slot for r in ordered.itertuples()] == [k - -(-(k * 7 // n) * n // 7) for k in range(n)]
+
+
+def test_written_shards_prune(spark, tmp_path, real):
+    import pyarrow.parquet as pq
+
+    sharding.write_shards(real, str(tmp_path / "s"), 4, file_rows=20)
+    assert spark.read.parquet(str(tmp_path / "s")).drop("shard").exceptAll(real).isEmpty()
+    groups = [g for f in (tmp_path / "s").rglob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in [m.row_group(k) for k in range(m.num_row_groups)]]
+    at = pq.ParquetFile(next((tmp_path / "s").rglob("*.parquet"))).schema_arrow.get_field_index("doc_id")
+    top = real.agg({"doc_id": "max"}).first()[0]
+    read = sum(g.column(at).statistics.min <= top // 4 for g in groups)
+    assert len(groups) >= 8 and read <= 0.75 * len(groups)  # a filter on a quarter of the ids skips files
 
 
 def test_pipeline(spark, sf_dir, real, real_rows):
@@ -220,9 +273,25 @@ def test_pipeline(spark, sf_dir, real, real_rows):
     judged = brute.decontaminate(sorted(kept["suffix_dedup"].items()), items)
     assert set(kept["decontamination"]) == {i for i, (_, hit, _) in judged.items() if not hit}
     packed = p.run(spark, sf_dir)
+    assert len(kept["decontamination"]) < len(kept["suffix_dedup"])
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["decontamination"])
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf_dir, docs, rows):
+    """Every stage keeps clashing columns, nulls and empty texts, and takes an empty table."""
+    import corpus_pipeline as p
+
+    odd = docs.withColumn("flagged", docs.doc_id).withColumn("hit_words", docs.text).withColumn("row", docs.text).withColumn("kept_id", docs.doc_id)
+    for name, stage in p.STAGES:
+        out = stage(spark, odd, sf_dir)
+        none = stage(spark, odd.limit(0), sf_dir)
+        assert none.schema == out.schema and none.collect() == []
+        if name != "packing":
+            assert out.schema == odd.schema and {1000, 1001} <= {r.doc_id for r in out.collect()}, name
+        else:
+            assert {r.doc_id for r in out.collect()} == {i for i, _ in rows}
+
+
 def test_names():
     names = [n.split("_")[0] for n in queries.queries()]
     assert names == [f"op{i}" for i in range(1, 11)] and set(queries.oracle_sql()) <= set(queries.queries())
@@ -240,6 +309,6 @@ def test_entry_works_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
 
-@pytest.mark.parametrize("name", ["op4_decontaminate", "op6_minhash_neardup"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op4_decontaminate", "op6_minhash_neardup"])
 def test_oracles(spark, sf_dir, name):
     assert oracle.spark_rows(queries.queries()[name](spark, sf_dir)) == oracle.duck_rows(oracle.connect(sf_dir), queries.oracle_sql()[name])

@@ -87,6 +87,67 @@ def test_fingerprints(docs, rows, options):
             assert r.edited_fingerprint == fingerprint.text_of(fingerprint.chunk_sets([edited.encode()])[0])
 
 
+def chunks_by_hand(text: bytes) -> dict[bytes, int]:
+    """Distinct chunks with their lengths, byte by byte."""
+    gear = fingerprint.GEAR.tolist()
+    out, start = {}, 0
+    for i in range(len(text)):
+        n = i + 1 - start
+        h = sum(gear[text[i - j]] << j for j in range(min(16, i + 1))) & 0xFFFFFFFF
+        bits = 6 if n < fingerprint.NORMAL else 4
+        if n == fingerprint.MOST or n >= fingerprint.LEAST and i >= 15 and h >> (32 - bits) == 0:
+            out[text[start : i + 1]] = n
+            start = i + 1
+    return out | ({text[start:]: len(text) - start} if start < len(text) else {})
+
+
+def likeness(a: dict, b: dict) -> float:
+    return float(len(a) == len(b)) if not a or not b else sum(n for c, n in a.items() if c in b) / sum(a.values())
+
+
+def test_likeness_by_hand(spark, real, real_rows):
+    some = sorted(real_rows)[:40]
+    found = {r.doc_id: r for r in fingerprint.fingerprints(real.where(real.doc_id <= some[-1][0])).collect()}
+    texts = [(t or "")[:] for _, t in some]
+    for k, (i, _) in enumerate(some):
+        text, after = texts[k], texts[(k + 1) % len(texts)]
+        q = len(text) // 4
+        own, new, nxt = (chunks_by_hand(t.encode()) for t in (text, text[: len(text) - q] + after[:q], after))
+        r = found[i]
+        lengths = sorted(int(r.fingerprint[s : s + 14], 16) & 0xFFF for s in range(0, len(r.fingerprint), 14))
+        assert lengths == sorted(own.values()) and len({r.fingerprint[s : s + 14] for s in range(0, len(r.fingerprint), 14)}) == len(own)
+        assert r.near_edited == pytest.approx(likeness(own, new)) and r.near_next == pytest.approx(likeness(own, nxt))
+
+
+def test_texts_of_megabytes(spark):
+    """A million characters without a blank, and as many with: counts and ids are the libraries'; memory stays bounded."""
+    from arbora.llm import suffixdedup, toxicity
+
+    rng = random.Random(8)
+    solid, spaced = "".join(rng.choice("日本語文字列") for _ in range(300_000)), " ".join(rng.choice(["alpha", "beta", "gamma", "x1"]) for _ in range(200_000))
+    df = spark.createDataFrame([(1, solid, 1), (2, spaced, 2), (3, spaced + " end", 3)], "doc_id long, text string, n_tokens int")
+    c = tokencount.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {1: solid, 2: spaced, 3: spaced + " end"}
+    assert {r.doc_id: r.n_tokens for r in tokencount.token_counts(df).collect()} == {i: len(c.model.encode(t)) for i, t in texts.items()}
+    packed = {}
+    for r in packing.pack(df).collect():
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+    assert packed == {i: len(ids.whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    assert {r.doc_id: r.n_words for r in decontaminate.decontaminate(df, df.limit(0).selectExpr("doc_id item_id", "text")).collect()} == {1: 1, 2: 200_000, 3: 200_001}
+    removed = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixdedup.suffix_dedup(df.select("doc_id", "text")).collect()}
+    assert removed[1][1] == removed[2][1] == 0 and removed[3] == (len(spaced) + 4, len(spaced))
+    assert fingerprint.fingerprints(df).count() == 3 and toxicity.score(df, toxicity.train(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2)), np.zeros(0), ("a", "b"))).count() == 3
+
+
+def test_caches_are_bounded_in_bytes():
+    c = tokencount.Counter(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    long = "日" * 20_000
+    c.count(f"a {long} b"), ids.encode(f"a {long} b")
+    assert long not in c and long not in ids and c.held < 1000 and ids.held < 1000
+
+
 def test_fingerprints_find_likeness(spark, sf_dir, real_rows):
     found = fingerprint.query(spark, sf_dir).collect()
     assert len(found) == len(real_rows)
