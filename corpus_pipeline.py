@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arbora.llm import decontaminate, neardup, packing, scratch, suffixdedup, toxicity
 from arbora.session import ship
 
-#: Temporary tables of the stage that ran last; its result has been stored when the next one begins.
+#: Temporary tables of the stage that ran last. Its result has to be stored, or read, before the next one begins, which deletes them.
 _last: list = []
 
 
