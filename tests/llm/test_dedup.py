@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arbora.llm import neardup, suffixdedup
@@ -21,6 +22,30 @@ def test_suffix_dedup(docs, rows, options):
     assert {i: sorted(x) for i, x in found.items()} == brute.suffix_dedup(rows)
 
 
+def test_suffix_dedup_of_very_hot_strings(docs, rows):
+    """Without a single gathered string, all windows go one by one."""
+    found = suffixdedup.suffix_dedup(docs.drop("rest"), block_bytes=4000, hot_blocks=0).select("doc_id", "n_removed", "n_spans").collect()
+    expected = {i: sorted(x[1:3] for x in v) for i, v in brute.suffix_dedup(rows).items()}
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, []).append((r.n_removed, r.n_spans))
+    assert {i: sorted(x) for i, x in got.items()} == expected
+
+
+def test_hot_strings_are_sent_in_few_pieces():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(20)]
+    block = suffixdedup.Block(pa.table({"doc_id": pa.array(range(20), pa.int64()), "text": texts}), 3)
+    marks = {b: bytes([2] * int((block.bucket == b).sum())) for b in range(3)}
+    block.entries(marks)
+    assert len(block.g) > 100 and len(block.wcontext) <= 4 * len(block.g)
+    offsets = {}
+    for c, a, z in zip(block.wcontext.tolist(), block.wlow.tolist(), block.whigh.tolist(), strict=True):
+        offsets.setdefault(c, set()).update(range(a, z + 1))
+    for c, (x, y) in enumerate(zip(block.left.tolist(), block.right.tolist(), strict=True)):  # every window is in a piece
+        assert offsets.get(c, set()) == set(range(suffixdedup.SIDE - y, x + 1))
+
+
 def test_suffix_query(spark, sf_dir, real_rows):
     found = {r.doc_id: [tuple(r)[1:]] for r in suffixdedup.query(spark, sf_dir).collect()}
     assert found == brute.suffix_dedup(real_rows)
