@@ -254,3 +254,20 @@ def test_fullest_is_optimal():
         assert sum(picked) == max(lengths) + max(s for s in sums if s + max(lengths) <= 30)
         for n in picked:
             assert left.take(n) == n
+
+
+def test_punctuation_behind_words_needs_no_whole_tokenizer():
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    whole, asked = ids.whole, []
+
+    class Watched:
+        def encode(self, part, **options):
+            asked.append(part)
+            return whole.encode(part, **options)
+
+    ids.whole = Watched()
+    plain = "Straße&&& Straße... straße&&& été), ÉTÉ&&&"
+    odd = "don't it's, 'tis x' ''s a&'s &'re, 12.5, ,, . naïve— é́, İ. ª; <|endoftext|>, a<|endoftext|> endoftext|> x\t,"
+    for text, times in ((plain, {"&&&", "...", "),"}), (odd, None)):
+        assert ids.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert times is None or (set(asked) == times and len(asked) == len(times))
