@@ -136,6 +136,30 @@ def test_prefix_filter_never_parts_similar_sets():
             assert len(np.intersect1d(neardup.rarest(a, count, 75), neardup.rarest(b, count, 75)))
 
 
+def test_frequent_shingles_are_counted_once_not_in_every_task(spark, tmp_path, monkeypatch):
+    """The sketch's rows are its slots, however many files the texts lie in."""
+    line = " ".join(f"w{k}" for k in range(200))
+    texts = [(i, f"{line} own {i} and {7 * i} words") for i in range(60)]
+    slots = np.unique(np.concatenate([neardup._slot(own) for _, own in neardup._each_set(pa.RecordBatch.from_pydict({"text": [t for _, t in texts]}))]))
+    original = neardup._count
+
+    def noted(batches):
+        for b in original(batches):
+            with (tmp_path / "rows").open("a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    monkeypatch.setattr(neardup, "_count", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left = spark.createDataFrame([(i, i) for i, _ in texts], "rep long, component long")
+        found = dict(neardup._rest(spark.createDataFrame(texts, "doc_id long, text string"), left, 75).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == dict.fromkeys(range(60), 0)
+    assert sum(map(int, (tmp_path / "rows").read_text().split())) == len(slots)
+
+
 def test_near_duplicate_query(spark, sf_dir, real_rows):
     found = {r.doc_id: tuple(r)[1:] for r in neardup.query(spark, sf_dir).collect()}
     assert found == brute.near_duplicates(real_rows)
