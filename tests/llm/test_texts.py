@@ -49,6 +49,20 @@ def test_decontaminate_odd_tables(spark, docs, empty):
     assert [(r.hit_words, r.items) for r in decontaminate.decontaminate(lost, bench).collect()] == [([2], [])]
 
 
+def test_decontaminate_large_vocabulary():
+    """Terms times words of a run are beyond 32 bits."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(30_000):x}" for _ in range(n))
+    items = [(i, text(rng.randrange(5, 40))) for i in range(1500)]
+    rows = [(i, f"{text(700)} {items[i * 7][1]} {text(300)}") for i in range(200)]
+    windows = decontaminate.Windows([str(i) for i, _ in items], pa.array([t for _, t in items]))
+    counts, hits, held = decontaminate._annotate(pa.array([t for _, t in rows]), windows)
+    assert len(windows.vocabulary) * int(counts.sum()) > 1 << 31
+    assert {i: (int(counts[i]), hits[i], sorted(held[i])) for i, _ in rows} == brute.decontaminate(rows, items)
+
+
 def test_windows_hold_little_memory():
     import tracemalloc
 
