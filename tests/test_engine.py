@@ -23,6 +23,19 @@ def test_against_duckdb(spark, sf_dir, con, name):
     assert oracle.spark_rows(workload.queries()[name](spark, sf_dir)) == oracle.duck_rows(con, workload.oracle_sql()[name])
 
 
+def test_staircase_query_on_large_keys(spark, sf_dir, tmp_path):
+    """Keys times 10,000 don't fit 32 bits; every row is as on small keys, with the shift."""
+    for t in workload.TABLES:
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        (df.withColumn("o_custkey", df.o_custkey + 300_000) if t == "orders" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    found = {tuple(r) for r in workload.queries()["op_staircase_semi"](spark, str(tmp_path)).collect()}
+    lows = {}
+    for r in spark.table("GraphRated").collect():
+        lows.setdefault(r.src, []).append((r.dst, r.rating))
+    edges = [tuple(r) for r in spark.table("Graph").collect()]
+    assert found == {(s, d, (s + 5) * 10000.0) for s, d in edges if any(x < d and y < (s + 5) * 10000 for x, y in lows[s])} and found
+
+
 def test_every_query_has_an_oracle():
     assert set(workload.queries()) == set(workload.oracle_sql())
 
