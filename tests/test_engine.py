@@ -36,6 +36,13 @@ def test_staircase_query_on_large_keys(spark, sf_dir, tmp_path):
     assert found == {(s, d, (s + 5) * 10000.0) for s, d in edges if any(x < d and y < (s + 5) * 10000 for x, y in lows[s])} and found
 
 
+@pytest.mark.parametrize("name", ["reduce_graph_q5", "set_graph_q5"])
+def test_only_the_middle_is_enumerated(spark, sf_dir, name):
+    """Each of the nine relations is read once, in the reduction; joining all afterwards would read them again."""
+    plan = workload.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 9
+
+
 def test_every_query_has_an_oracle():
     assert set(workload.queries()) == set(workload.oracle_sql())
 
