@@ -91,6 +91,19 @@ def test_reduction_equals_plain_sql(small, sql):
     assert oracle.spark_rows(small.sql(sql, strategy="reduce")) == oracle.spark_rows(small.sql(sql, strategy="sql"))
 
 
+APART = [
+    "SELECT DISTINCT m.x, m.y FROM A m, B p, B q, C s, D t WHERE p.y = m.x AND q.y = m.x AND s.x = m.y AND t.x = m.y AND p.w < s.w AND q.w > t.w",
+    "SELECT DISTINCT m.x, m.y FROM A p, A q, C s, D t, B m, C e, D f WHERE p.y = m.x AND q.y = m.x AND s.x = m.y AND t.x = m.y AND e.y = p.x AND f.x = t.y AND e.w + 9 < s.w AND q.w >= f.w + 8",
+    "SELECT DISTINCT m.x, m.y FROM A m, B p, B q, C s, D t WHERE p.y = m.x AND q.y = m.x AND s.x = m.y AND t.x = m.y AND p.w < s.w AND q.w > t.w AND p.x <= q.x",
+]
+
+
+@pytest.mark.parametrize("sql", APART)
+def test_comparisons_on_branches(small, sql):
+    """Two comparisons between branches on either side of the middle, and with a third one that can't be parted from them."""
+    assert oracle.spark_rows(small.sql(sql, strategy="reduce")) == oracle.spark_rows(small.sql(sql, strategy="sql"))
+
+
 def test_routes(small):
     plain = "SELECT x, COUNT(*) AS n FROM A GROUP BY x"
     with pytest.raises(Unsupported):
